@@ -16,7 +16,10 @@ as duplicates, and puts the displaced documents where they fit best.
 from __future__ import annotations
 
 import json
+import os
 import random
+import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,43 +37,74 @@ Pattern = tuple[tuple[int, int], ...]
 Solution = dict[Pattern, int]
 
 #: Words whose ids a Python worker remembers before it starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Trailing characters that are a token group of their own; none can begin a contraction or a special token.
+PUNCTUATION = "".join(c for c in string.punctuation if c not in "'<|>")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Bytes as byte-level vocabularies write them: printable ones as they are, the rest from U+0100 on.
+BYTE_LETTERS = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 
 
 class _WordIds:
-    """Token ids by white-space separated word: the vocabulary drops white space, so words are independent."""
+    """Token ids of white-space separated words.
 
-    def __init__(self, path: str) -> None:
-        import os
+    The vocabulary drops white space and never joins letters with punctuation,
+    so a word of Latin letters and trailing punctuation is two lookups; each
+    distinct part is tokenised once. Other words go to the whole tokenizer.
+    """
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.parts: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.bounds: list[np.ndarray] = [np.zeros(1, np.int64)]
+        self.values, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _ids(self, part: str) -> list[int]:
+        if LATIN.fullmatch(part) or not part.strip(PUNCTUATION):
+            return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
 
-    def codes(self, distinct: list[str]) -> np.ndarray:
+    def lookup(self, distinct: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in order, number of ids of each)."""
         if len(self.at) > REMEMBERED_WORDS:
             self.clear()
-        new = [w for w in distinct if w not in self.at]
-        end = int(self.bounds[-1][-1])
-        for k in range(0, len(new), 4096):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 4096], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.parts.append(np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum())))
-            self.bounds.append(end + np.cumsum(size))
-            end = int(self.bounds[-1][-1])
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        self.parts, self.bounds = [np.concatenate(self.parts)], [np.concatenate(self.bounds)]
-        return self.parts[0], self.bounds[0]
+        new: list[str] = []
+        flat, size = [], []
+        at = self.at
+        for word in distinct:
+            base = word.rstrip(PUNCTUATION)
+            parts = (word,) if not base or not LATIN.fullmatch(base) else (base.lower(),) if len(base) == len(word) else (base.lower(), word[len(base) :])
+            for part in parts:
+                if part not in at:
+                    at[part] = len(at)
+                    new.append(part)
+                flat.append(at[part])
+            size.append(len(parts))
+        if new:
+            ids = [self._ids(part) for part in new]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.values = np.concatenate([self.values, np.fromiter((x for i in ids for x in i), np.uint32, int(count.sum()))])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(count)])
+        by_word, own = gather(self.values, self.bounds, np.array(flat, np.int64))
+        ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(size)]).astype(np.int64)]
+        return gather(by_word, ends, codes)
+
+
+_KNOWN: dict[str, _WordIds] = {}
+
+
+def _word_ids(path: str) -> _WordIds:
+    """The worker's own table, kept between its tasks."""
+    if path not in _KNOWN:
+        _KNOWN[path] = _WordIds(path)
+    return _KNOWN[path]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -81,13 +115,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordIds(tokenizer_path)
+        known = _word_ids(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "text"):
                 distinct, codes, offsets = words(part.column("text"))
-                mapped = known.codes(distinct.to_pylist())
-                values, bounds = known.tables()
-                ids, count = gather(values, bounds, mapped[codes])
+                ids, count = known.lookup(distinct.to_pylist(), codes)
                 ends = np.concatenate([[0], np.cumsum(count)])[offsets]
                 rows, piece, start, length, crc, kept = [], [], [], [], [], []
                 for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
