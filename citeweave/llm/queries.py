@@ -42,6 +42,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeweave.llm.pii import digests, find
+
+    return digests(find(table(spark, sf_dir, "documents")))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeweave.llm.chat import digests, format_conversations, with_probe
 
@@ -56,6 +62,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from citeweave.llm.sharding import shard
+
+    placed = shard(table(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
