@@ -69,7 +69,7 @@ def _luhn(digits: Column) -> Column:
         v = d.cast("int") * (F.lit(1) + i % 2)
         return F.when(v > 9, v - 9).otherwise(v)
 
-    return F.aggregate(F.transform(F.split(F.reverse(digits), "(?!^)"), weight), F.lit(0), lambda a, x: a + x) % 10 == 0
+    return F.aggregate(F.transform(F.regexp_extract_all(F.reverse(digits), F.lit("."), F.lit(0)), weight), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
 def _valid(kind: str, value: Column) -> Column:
