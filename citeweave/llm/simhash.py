@@ -62,7 +62,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer. One row for each row of ``docs``."""
+    """(doc_id, fp, text_hash): fp is the fingerprint as a signed 64-bit integer. One row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,10 +74,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         known[text] = fingerprint(text, shingle, seed)
                     out.append(known[text])
                 fp = np.array(out, dtype=np.uint64).view(np.int64)
-                yield pa.record_batch([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(fp), part.column("text_hash")], names=["doc_id", "fp", "text_hash"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def block_keys(fp: str, max_bits: int, matched: int) -> list:
@@ -165,36 +165,38 @@ def links(distinct: DataFrame, max_bits: int = 4, matched: int = 2, tile: int =
 
 
 def classes(prints: DataFrame, max_bits: int = 4, matched: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of (doc_id, fp); component_id is the least doc_id of the class.
+    """(fp, leader, component_id): the class of each fingerprint of (doc_id, fp, text_hash).
 
-    Null ids are never a component's id unless a class has no other.
+    leader is the least (doc_id, text_hash) of the class, a null doc_id after
+    all others; component_id is its doc_id.
     """
-    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    row = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
+    least = materialize(prints.groupBy("fp").agg(F.min(row).alias("least")), "fingerprints")
     linked = connected_components(links(least.select("fp"), max_bits, matched))
     root = materialize(least.join(linked, least.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "roots")
-    named = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = root.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    named = root.groupBy("root").agg(F.min("least").alias("leader"))
+    return root.select("fp", "root").join(named, "root").select("fp", "leader", F.col("leader.doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, max_bits: int = 4, matched: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of ``docs``.
 
-    Texts without words share the fingerprint zero and link like any others.
-    An empty table gives no rows.
+    Texts without words share the fingerprint zero and link like any others. A
+    null id names a class only if it has no other. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
-    named = classes(prints, max_bits, matched)
+    named = prints.join(classes(prints, max_bits, matched), "fp")
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id names their class: one document of each group stays.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, max_bits: int = 4, matched: int = 2) -> DataFrame:
+    """The row of ``docs`` that leads each class: one document of each group stays, with all its columns.
 
-    Rows that repeat an id within a class stay once, the first by text; of a
-    class with null ids only, one stays.
+    The leader has the least id, then the least text hash; of rows that repeat
+    both id and text one stays.
     """
-    named = near_duplicates(docs, id_col, text_col, **how)
-    leaders = named.select(F.col("component_id").alias("_leader")).distinct()
-    kept = docs.join(leaders, docs[id_col].eqNullSafe(leaders["_leader"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
+    leaders = classes(prints, max_bits, matched).select(F.col("leader.doc_id").alias("_id"), F.col("leader.text_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    kept = hashed.join(leaders, hashed[id_col].cast("long").eqNullSafe(leaders["_id"]) & (hashed["_text_hash"] == leaders["_hash"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
