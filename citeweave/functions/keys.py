@@ -36,9 +36,8 @@ def surname_key(surname: Column) -> Column:
         if "ﬀ" <= c <= "ﬆ":
             plain = F.replace(plain, F.lit(c), F.lit(letters))
     key = F.regexp_replace(F.lower(F.when(F.rlike(name, F.lit("[^\\x00-\\x7F]")), plain).otherwise(name)), "[^a-z]", "")
-    for p in PARTICLES:
-        key = F.when(F.startswith(key, F.lit(p)) & (F.length(key) > len(p) + 2), F.substring(key, len(p) + 1, 1 << 20)).otherwise(key)
-    return key
+    strip_one = lambda k, p: F.when(F.startswith(k, p) & (F.length(k) > F.length(p) + 2), F.substring(k, F.length(p) + 1, F.length(k))).otherwise(k)
+    return F.aggregate(F.array(*map(F.lit, PARTICLES)), key, strip_one)
 
 
 def canonical_id(surname: Column, year: Column, title: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns whose matches decide the results.
@@ -14,6 +14,11 @@ ARXIV = "(?i)\\barXiv:\\s*([0-9]{4}\\.[0-9]{4,5}(?:v\\d+)?)\\b"
 AUTHORLIKE = "^\\s*(?:\\[\\d+\\]\\s*|\\d+\\.\\s*)?[A-Z][A-Za-z'`-]{2,}"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -28,10 +33,13 @@ def first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _noise(bare: Column) -> Column:
+    return (F.length(bare) < 6) | F.rlike(bare, F.lit("^\\p{Nd}+$"))
+
+
 def is_noise(raw: Column) -> Column:
     """Null, digits only, or under six characters once stripped."""
-    bare = strip(raw)
-    return raw.isNull() | F.rlike(bare, F.lit("^\\p{Nd}+$")) | (F.length(bare) < 6)
+    return raw.isNull() | _noise(strip(raw))
 
 
 def preclean(raw: Column) -> Column:
@@ -47,56 +55,62 @@ def preclean(raw: Column) -> Column:
         ("\\band([A-Z])", "and $1"),
         ("\\s+", " "),
     )
-    text = strip(raw)
-    for pattern, put in steps:
-        text = F.regexp_replace(text, pattern, put)
-    return F.when(~is_noise(raw), F.nullif(F.trim(text), F.lit("")))
-
-
-def year(text: Column) -> Column:
-    return first(text, YEAR).cast("int")
 
+    def cleaned(text: Column) -> Column:
+        for pattern, put in steps:
+            text = F.regexp_replace(text, pattern, put)
+        return F.nullif(F.trim(text), F.lit(""))
 
-def year_suffix(text: Column) -> Column:
-    return first(text, YEAR, 2)
+    return let(strip(raw), lambda bare: F.when(~_noise(bare), cleaned(bare)))
 
 
-def before_year(text: Column) -> Column:
-    """Everything before the first year; the whole text without one."""
-    return F.when(F.rlike(text, F.lit(YEAR)), F.regexp_extract(text, f"^([\\s\\S]*?){YEAR}", 1)).otherwise(text)
+def with_cleaned(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """``rows`` that are no noise, with cleaned; a filter would clean every string twice."""
+    return rows.select("*", F.explode(F.array_compact(F.array(preclean(F.col(raw))))).alias("cleaned"))
 
 
-def after_year(text: Column) -> Column:
-    return F.regexp_extract(text, f"^[\\s\\S]*?{YEAR}([\\s\\S]*)$", 3)
+def fields(text: Column) -> Column:
+    """surname, year, year_suffix and title of a cleaned reference.
 
+    The surname is the last word that is no initial of the first author before
+    the first year; the title is what follows the year up to the first full
+    stop, null if nothing does. Without a year all text is before it.
+    """
+    found = F.struct(F.regexp_instr(text, F.lit(YEAR)).alias("at"), F.regexp_extract(text, YEAR, 0).alias("y"))
 
-def _last_name(tokens: Column, otherwise: Column, chars: str) -> Column:
-    names = F.filter(tokens, lambda t: (t != "") & ~F.rlike(t, F.lit("^[A-Z]\\.?$")))
-    return F.when(F.size(names) > 0, F.btrim(F.element_at(names, -1), F.lit(chars))).otherwise(otherwise)
+    def parts(m: Column) -> Column:
+        head = F.when(m["at"] > 0, F.rtrim(F.substring(text, F.lit(1), m["at"] - 1), F.lit(" .,("))).otherwise(text)
+        tail = F.when(m["at"] > 0, F.ltrim(F.substring(text, m["at"] + F.length(m["y"]), F.length(text)), F.lit(" .,)"))).otherwise("")
+        chunk = strip(F.element_at(F.split(head, ",|\\band\\b|&", 2), 1))
+        surname = let(chunk, lambda c: _last_name(F.split(c, f"{SPACE}+"), F.coalesce(F.nullif(c, F.lit("")), F.lit("Unknown")), ".,"))
+        title = F.nullif(F.btrim(F.substring_index(tail, ".", 1), F.lit(" .")), F.lit(""))
+        year = F.nullif(F.substring(m["y"], 1, 4), F.lit("")).cast("int")
+        return F.struct(surname.alias("surname"), year.alias("year"), F.nullif(F.substring(m["y"], 5, 1), F.lit("")).alias("year_suffix"), title.alias("title"))
 
+    return let(found, parts)
 
-def lead_surname(text: Column) -> Column:
-    """Surname of the first author: the last word that is no initial of the first part before the year."""
-    head = F.when(F.rlike(text, F.lit(YEAR)), F.rtrim(before_year(text), F.lit(" .,("))).otherwise(text)
-    chunk = strip(F.element_at(F.split(head, ",|\\band\\b|&", 2), 1))
-    return _last_name(F.split(chunk, f"{SPACE}+"), F.coalesce(F.nullif(chunk, F.lit("")), F.lit("Unknown")), ".,")
 
+def _last_name(tokens: Column, otherwise: Column, chars: str) -> Column:
+    def named(names: Column) -> Column:
+        return F.when(F.size(names) > 0, F.btrim(F.element_at(names, -1), F.lit(chars))).otherwise(otherwise)
 
-def lead_title(text: Column) -> Column:
-    """What follows the year up to the first full stop; null if nothing does."""
-    tail = F.ltrim(after_year(text), F.lit(" .,)"))
-    return F.nullif(F.btrim(F.substring_index(tail, ".", 1), F.lit(" .")), F.lit(""))
+    return let(F.filter(tokens, lambda t: (t != "") & ~F.rlike(t, F.lit("^[A-Z]\\.?$"))), named)
 
 
 def index_surname(reference: Column) -> Column:
     """Surname under which a bibliography entry is found by author-year markers; null if none is left."""
     ref = strip(F.regexp_replace(reference, "^\\s*(?:\\[\\d+\\]|\\d+\\.)\\s*", ""))
-    head = F.when(F.rlike(ref, F.lit(YEAR)), before_year(ref)).otherwise(F.substring(ref, 1, 120))
-    head = F.regexp_replace(head, "(?i)\\bet\\s+al\\.?", "")
-    whole = F.element_at(F.split(head, "\\s+(?:and|&)\\s+", 2), 1)
-    words = F.transform(F.split(whole, f"{SPACE}+"), lambda t: F.btrim(t, F.lit(" .")))
-    name = F.when(F.contains(head, F.lit(",")), F.substring_index(head, ",", 1)).otherwise(_last_name(words, whole, ""))
-    return F.nullif(F.btrim(name, F.lit(" .;:")), F.lit(""))
+
+    def head(r: Column) -> Column:
+        at = F.regexp_instr(r, F.lit(YEAR))
+        return F.regexp_replace(F.substring(r, F.lit(1), F.when(at > 0, at - 1).otherwise(120)), "(?i)\\bet\\s+al\\.?", "")
+
+    def name(h: Column) -> Column:
+        whole = F.element_at(F.split(h, "\\s+(?:and|&)\\s+", 2), 1)
+        words = F.transform(F.split(whole, f"{SPACE}+"), lambda t: F.btrim(t, F.lit(" .")))
+        return F.when(F.contains(h, F.lit(",")), F.substring_index(h, ",", 1)).otherwise(_last_name(words, whole, ""))
+
+    return F.nullif(F.btrim(let(let(ref, head), name), F.lit(" .;:")), F.lit(""))
 
 
 def number_list(inner: Column) -> Column:

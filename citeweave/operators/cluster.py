@@ -40,9 +40,8 @@ def with_vectors(nodes: DataFrame, vector: str | None = None) -> DataFrame:
 
 def _tiles(nodes: DataFrame, keys: list[str], node: str, tile: int) -> DataFrame:
     """Nodes dealt to (keys, i, j): with up to ``tile`` nodes a block is one tile, larger ones are pairs of chunks."""
-    sizes = nodes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks"))
-    same = [nodes[k].eqNullSafe(sizes[k]) for k in keys]
-    sized = nodes.join(sizes, same).select(*[nodes[k] for k in keys], nodes[node].alias("n"), "v", "len", "chunks")
+    sizes = nodes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks"))
+    sized = nodes.join(sizes, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, F.col(node).alias("n"), "v", "len", "chunks")
     dealt = sized.withColumn("own", F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
     return dealt.select(*keys, "n", "v", "len", "own", F.explode(met).alias("t")).select(*keys, "n", "v", "len", "own", "t.i", "t.j")
@@ -129,8 +128,10 @@ def cluster(blocked: DataFrame, auto: float = AUTO, high: float = HIGH, low: flo
     best = links.where("kind = 'best'").join(named.select(F.col("node").alias("src"), "cluster_id"), "src").groupBy("cluster_id").agg(F.max("score").alias("best"))
     groups = named.groupBy("cluster_id").agg(F.countDistinct("auto_id").alias("n_auto")).join(best, "cluster_id", "left")
     labelled = named.join(groups, "cluster_id")
-    on = blocked["block_key"].eqNullSafe(labelled["block_key"]) & blocked["year"].eqNullSafe(labelled["year"]) & (blocked["title"] == labelled["title"])
-    joined = blocked.join(labelled, on, "left").select(*[blocked[c] for c in blocked.columns], *[F.coalesce(labelled[c], blocked[ord_col]).alias(c) for c in ("cluster_id", "auto_id")], F.coalesce("n_auto", F.lit(1)).alias("n_auto"), "best")
+    renamed = labelled.select(*[F.col(c).alias(f"_{c}") for c in ("block_key", "year", "title", "cluster_id", "auto_id", "n_auto")], "best")
+    on = F.col("block_key").eqNullSafe(F.col("_block_key")) & F.col("year").eqNullSafe(F.col("_year")) & (F.col("title") == F.col("_title"))
+    own = [F.coalesce(F.col(f"_{c}"), F.col(ord_col)).alias(c) for c in ("cluster_id", "auto_id")]
+    joined = blocked.join(renamed, on, "left").select(*blocked.columns, *own, F.coalesce("_n_auto", F.lit(1)).alias("n_auto"), "best")
     sizes = joined.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
     sized = joined.join(sizes, "cluster_id")
     tier = F.when(F.col("n_auto") == 1, F.when(F.col("cluster_size") > 1, "auto").otherwise("singleton")).otherwise(F.when(F.col("best") >= high, "candidate").otherwise("borderline"))

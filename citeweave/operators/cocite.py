@@ -40,8 +40,8 @@ def hits(occurring: DataFrame, canonical: DataFrame) -> DataFrame:
 
 def order(global_count: Column | None = None) -> list[Column]:
     """Co-citations, then global count, both falling, then title; the id settles what is left."""
-    world = F.coalesce(global_count, F.lit(0)) if global_count is not None else F.lit(0)
-    return [F.col("cocitation_count").desc(), world.desc(), F.lower(F.coalesce("title", F.lit(""))).asc(), F.col("canonical_id").asc()]
+    world = [F.coalesce(global_count, F.lit(0)).desc()] if global_count is not None else []
+    return [F.col("cocitation_count").desc(), *world, F.lower(F.coalesce("title", F.lit(""))).asc(), F.col("canonical_id").asc()]
 
 
 def top(records: DataFrame, n: int, global_count: Column | None = None) -> DataFrame:

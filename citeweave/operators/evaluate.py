@@ -46,7 +46,7 @@ def greedy_matches(predicted: DataFrame, truth: DataFrame, least: float = 0.85)
                 matched += 1
         return pd.DataFrame({"paper": [key[0]], "n_predicted": [len(a)], "n_truth": [len(b)], "matched": [matched]})
 
-    shaped = lambda df: df.select("paper", "ord", eval_form(F.col("ref")).alias("form")).groupBy("paper")
+    shaped = lambda df: df.select(F.col("paper").alias("paper"), F.col("ord").alias("ord"), eval_form(F.col("ref")).alias("form")).groupBy("paper")
     return shaped(predicted).cogroup(shaped(truth)).applyInPandas(one, "paper string, n_predicted long, n_truth long, matched long")
 
 

@@ -28,8 +28,8 @@ def surname_key(source: str, column: str, key: str = "key") -> str:
 def offsets(source: str, keep: str, pattern: str, text: str = "text") -> str:
     """(keep, value, start, end) of all matches, offsets from 0."""
     return f"""
-SELECT {keep}, found[i] AS value, at AS "start", at + length(found[i]) AS "end" FROM (
-  SELECT *, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i-1], lambda g: length(g))), 0))::INT AS at FROM (
+SELECT {keep}, found[i] AS value, pos AS "start", pos + length(found[i]) AS "end" FROM (
+  SELECT *, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i-1], lambda g: length(g))), 0))::INT AS pos FROM (
     SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
       SELECT *, string_split_regex({text}, '{pattern}') AS gaps, regexp_extract_all({text}, '{pattern}', 0) AS found FROM {source})))"""
 
@@ -122,7 +122,7 @@ CTES: list[tuple[str, str]] = [
     ("ocs", rf"SELECT occ.*, regexp_replace(raw_ref, '^\s+|\s+$', '', 'g') AS bare FROM occ"),
     ("ocl", f"SELECT ocs.*, {_preclean()} AS cleaned FROM ocs"),
     ("oc", "SELECT paper, page, raw_ref, coalesce(a.canonical_id, z.canonical_id) AS canonical_id FROM ocl LEFT JOIN xm a ON ocl.raw_ref = a.raw LEFT JOIN xm z ON ocl.cleaned = z.raw WHERE coalesce(a.canonical_id, z.canonical_id) IS NOT NULL"),
-    ("sd", RENDER_SECTIONS.replace("{inner}", "SELECT citing_paper_id, l_layout AS lay, string_agg(concat(CASE l_layout WHEN 0 THEN concat('[', cast(k as string), '] ') WHEN 1 THEN concat(cast(k as string), '. ') ELSE '' END, raw), CASE WHEN l_layout = 2 THEN chr(10) || chr(10) ELSE chr(10) END ORDER BY k) AS body FROM (SELECT *, row_number() OVER (PARTITION BY citing_paper_id ORDER BY ord) AS k, cast(substr(citing_paper_id, 2) as int) % 3 AS l_layout FROM r WHERE line % 6 <> 5) GROUP BY 1, 2")),
+    ("sd", RENDER_SECTIONS.replace("{inner}", "SELECT citing_paper_id, l_layout AS lay, CASE WHEN l_layout = 2 THEN string_agg(raw, chr(10) || chr(10) ORDER BY k) ELSE string_agg(concat(CASE l_layout WHEN 0 THEN concat('[', cast(k as string), '] ') ELSE concat(cast(k as string), '. ') END, raw), chr(10) ORDER BY k) END AS body FROM (SELECT *, row_number() OVER (PARTITION BY citing_paper_id ORDER BY ord) AS k, cast(substr(citing_paper_id, 2) as int) % 3 AS l_layout FROM r WHERE line % 6 <> 5) GROUP BY 1, 2")),
     ("ss", r"SELECT paper, lay, text, regexp_replace(string_split_regex(string_split_regex(text, '(?im)^\s*(?:references|bibliography|works cited)\s*$')[-1], '(?im)^\s*(?:appendix|appendices|acknowledge?ments?|supplementary materials?|funding|author contributions)\s*$')[1], '^\s+|\s+$', '', 'g') AS section FROM sd"),
     ("sr0", r"SELECT paper, unnest(list_filter(list_transform(CASE WHEN lay = 0 AND len(regexp_extract_all(section, '(?m)^\s*\[(\d+)\]\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\[\d+\]\s+', chr(1) || '\0', 'g'), chr(1))[2:] WHEN lay = 1 AND len(regexp_extract_all(section, '(?m)^\s*(\d+)\.\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\d+\.\s+', chr(1) || '\0', 'g'), chr(1))[2:] ELSE string_split_regex(section, '\n\s*\n') END, lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: length(t) >= 20)) AS raw_ref FROM ss"),
 ]

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.functions.text import context, preclean
+from citeweave.functions.text import context, with_cleaned
 from citeweave.operators import citances, cluster, cocite, parse, resolve
 from citeweave.plans.hooks import offline_agent
 from citeweave.plans.refs import extract
@@ -55,7 +55,7 @@ def resolve_refs(refs: DataFrame, work: Workdir | None = None, agent=offline_age
     """refs(citing_paper_id, raw[, ord]) to cleaned, clustered, decided, canonical, mapping, review and ranked tables."""
     keep = work.stage if work else lambda name, make: materialize(make(), name)
     ordered = refs if "ord" in refs.columns else refs.withColumn("ord", F.monotonically_increasing_id())
-    cleaned = keep("preclean", lambda: ordered.withColumn("cleaned", preclean(F.col("raw"))).where("cleaned is not null"))
+    cleaned = keep("preclean", lambda: with_cleaned(ordered))
     records = keep("extract", lambda: cluster.block(extract(cleaned)))
     clustered = keep("cluster", lambda: cluster.cluster(records, auto, high, low))
     decided = keep("resolve", lambda: resolve.decide(clustered, resolve.verdicts(clustered), agent=agent))

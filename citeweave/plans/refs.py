@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.functions.keys import canonical_id
-from citeweave.functions.text import lead_surname, lead_title, preclean, year, year_suffix
+from citeweave.functions.text import fields, with_cleaned
 from citeweave.operators import cluster as C
 from citeweave.operators import resolve as R
 from citeweave.sources.scratch import materialize
@@ -35,21 +35,27 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer splits than there are; a large input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, line, citing_paper_id, partkey, raw)."""
     line, part = tables(spark, sf_dir, "lineitem", "part")
+    line = spread(line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     return spark.sql(RENDER.replace("FROM lineitem JOIN part", "FROM {lineitem} JOIN {part}"), lineitem=line, part=part)
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refs that survive cleaning, with cleaned."""
-    return refs(spark, sf_dir).withColumn("cleaned", preclean(F.col("raw"))).where("cleaned is not null")
+    return with_cleaned(refs(spark, sf_dir))
 
 
 def extract(rows: DataFrame) -> DataFrame:
     """``rows`` with surname, year, year_suffix and title of their cleaned string."""
-    c = F.col("cleaned")
-    return rows.withColumns({"surname": lead_surname(c), "year": year(c), "year_suffix": year_suffix(c), "title": lead_title(c)})
+    return rows.withColumn("_f", fields(F.col("cleaned"))).select(*rows.columns, "_f.*")
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.cluster(works(spark, sf_dir))
+    return C.cluster(materialize(works(spark, sf_dir), "records"))
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:

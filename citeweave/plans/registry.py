@@ -82,7 +82,7 @@ def q_block_skew(spark, d):
 @query("SELECT title, bucket, count(*) AS n FROM (SELECT title, unnest(buckets) AS bucket FROM (SELECT DISTINCT title, buckets FROM n1)) GROUP BY ALL", "n1")
 def q_trigram_buckets(spark, d):
     titles = refs.works(spark, d).where(F.length("title") >= 3).select("title").distinct()
-    return titles.select("title", F.explode(keys.trigram_buckets(C("title"))).cast("long").alias("bucket")).groupBy("title", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return titles.select("title", F.explode(keys.trigram_buckets(C("title")).cast("array<long>")).alias("bucket")).groupBy("title", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT DISTINCT title, round(size, 9) AS norm FROM n", "n")
@@ -122,14 +122,14 @@ SQL["q_embedding_components"] = f"WITH RECURSIVE e AS MATERIALIZED (SELECT src,
 
 @query("SELECT node, auto_id FROM ca", "ca")
 def q_auto_components(spark, d):
-    nodes = cluster.title_nodes(refs.works(spark, d))
+    nodes = cluster.materialize(cluster.title_nodes(refs.works(spark, d)), "nodes")
     links = cluster.materialize(cluster.tile_links(cluster.with_vectors(nodes), ["block_key", "year"]), "links")
     return cluster.components_of(nodes, links.where("kind = 'auto'"), "auto_id").select("node", "auto_id")
 
 
 @query("SELECT node, cluster_id FROM cl", "cl")
 def q_candidate_components(spark, d):
-    nodes = cluster.title_nodes(refs.works(spark, d))
+    nodes = cluster.materialize(cluster.title_nodes(refs.works(spark, d)), "nodes")
     links = cluster.materialize(cluster.tile_links(cluster.with_vectors(nodes), ["block_key", "year"]), "links")
     return cluster.components_of(nodes, links.where("kind = 'all'"), "cluster_id").select("node", "cluster_id")
 
@@ -186,8 +186,9 @@ def _resolved(spark, d):
 
 
 def _records(spark, d):
-    named = refs.exact_mapping(spark, d).groupBy("canonical_id").agg(F.min("title").alias("title"), F.min("surname").alias("surname"), F.min("year").alias("year"))
-    return named.join(cocite.counts(_resolved(spark, d)), "canonical_id")
+    mapping = refs.materialize(refs.exact_mapping(spark, d), "mapping")
+    named = mapping.groupBy("canonical_id").agg(F.min("title").alias("title"), F.min("surname").alias("surname"), F.min("year").alias("year"))
+    return named.join(cocite.counts(cocite.resolve_raws(refs.refs(spark, d), mapping)), "canonical_id")
 
 
 @query("SELECT ord, canonical_id FROM xr", "xr")
