@@ -30,20 +30,20 @@ from citeweave.operators.components import connected_components
 from citeweave.sources.scratch import materialize
 
 BITS = 64
+#: Words of 64 bits in a wide fingerprint.
+WIDE = 4
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """Unsigned fingerprint of one text.
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a text, repeats included.
 
     Only A-Z are lower-cased; words are runs of other characters than ASCII
     white space; a text of fewer words than a shingle has one shingle of them
-    all; no words (or null) give zero.
+    all; no words (or null) have none.
     """
-    if not text:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, ">u8")
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     start = np.cumsum(size) - size
@@ -53,12 +53,25 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     else:
         start, stop = start[:1], np.array([len(line)])
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(start.tolist(), stop.tolist())], dtype=">u8")
-    count = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        rows = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1)
-        count += rows.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
+    return np.array([digest(line[a:b], seed) for a, b in zip(start.tolist(), stop.tolist())], dtype=">u8")
+
+
+def _majority(rows: np.ndarray) -> bytes:
+    """Bits that are set in over half of the rows of bytes."""
+    n, count = len(rows), np.zeros(8 * rows.shape[1], np.int64)
+    for at in range(0, n, 255 * 64):
+        bits = np.unpackbits(rows[at : at + 255 * 64], axis=1)
+        whole = len(bits) // 255
+        if whole:
+            count += bits[: whole * 255].reshape(whole, 255, -1).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        count += bits[whole * 255 :].sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * count > n).tobytes()
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """Unsigned 64-bit fingerprint of one text; zero without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    return int.from_bytes(_majority(hashes.view(np.uint8).reshape(-1, 8)), "big") if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -80,6 +93,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE, seed: int = 42) -> tuple[int, ...]:
+    """``words`` unsigned fingerprints over the set of a text's shingles, each from hashes mixed anew; no words: zeros."""
+    hashes = np.unique(shingle_hashes(text, shingle, seed).astype(np.uint64))
+    if not len(hashes):
+        return (0,) * words
+    mixed = hashes[:, None] + (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    mixed ^= mixed >> np.uint64(31)
+    bits = _majority(mixed.astype(">u8").view(np.uint8).reshape(len(hashes), -1))
+    return tuple(int.from_bytes(bits[k : k + 8], "big") for k in range(0, 8 * words, 8))
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = WIDE) -> DataFrame:
+    """(doc_id, fp, f0.., text_hash): fp identifies the words f0.. together. One row for each row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                known: dict[str | None, tuple[int, ...]] = {}
+                out = []
+                for text in part.column("text").to_pylist():
+                    if text not in known:
+                        known[text] = wide_fingerprint(text, shingle, words)
+                    out.append(known[text])
+                fps = np.array(out, dtype=np.uint64).view(np.int64).reshape(-1, words)
+                yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words)]], names=["doc_id", "text_hash", *_names(words)])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    made = rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in _names(words)))
+    return made.select("doc_id", F.xxhash64(*_names(words)).alias("fp"), *_names(words), "text_hash")
+
+
+def _names(words: int) -> list[str]:
+    return [f"f{k}" for k in range(words)]
+
+
 def block_keys(fp: str, max_bits: int, matched: int) -> list:
     """One key expression for each combination of ``matched`` equal blocks."""
     blocks = max_bits + matched
@@ -92,44 +142,54 @@ def block_keys(fp: str, max_bits: int, matched: int) -> list:
     return keys
 
 
-def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+def wide_keys(words: int = WIDE, width: int = 12) -> list:
+    """Keys of single blocks of ``width`` bits of every word of a wide fingerprint."""
+    per = BITS // width
+    return [F.struct(F.lit(w * per + j).alias("combination"), F.expr(f"shiftrightunsigned(f{w}, {j * width}) & {(1 << width) - 1}L").alias("block")) for w in range(words) for j in range(per)]
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+
+
+def _forest(node: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Spanning forest of the links among fingerprints: each is compared with those not reached yet."""
+    if len(node) <= 96 and (_distance(fps[:, None], fps[None]) <= max_bits).sum() == len(node):
+        return []  # nothing but each with itself
     links: list[tuple[int, int]] = []
-    rest = np.unique(fps)
+    rest = np.arange(len(node))
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             one = frontier.pop()
-            near = np.bitwise_count(rest ^ one) <= max_bits
+            near = _distance(fps[rest], fps[one]) <= max_bits
             if near.any():
                 found = rest[near]
                 rest = rest[~near]
-                links.extend((int(one), x) for x in found.tolist())
-                frontier.extend(found)
+                links.extend((int(node[one]), int(node[x])) for x in found)
+                frontier.extend(found.tolist())
     return links
 
 
-def _linked_in_runs(max_bits: int):
+def _linked_in_runs(max_bits: int, words: int):
     """Links within runs of equal (combination, block, tile); the partition must be sorted by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((0, 4), np.int64)
+        kept = np.zeros((0, 4 + words), np.int64)
 
         def flush(rows: np.ndarray) -> pa.RecordBatch:
             new = np.any(rows[1:, :3] != rows[:-1, :3], axis=1)
             start = np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows)]])
             size = np.diff(start)
-            fp = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
+            node, fps = rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
             two = start[:-1][size == 2]
-            close = np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits
-            a, b = fp[two[close]], fp[two[close] + 1]
-            more = [x for at, n in zip(start[:-1][size > 2].tolist(), size[size > 2].tolist()) for x in _forest(fp[at : at + n], max_bits)]
-            ends = np.array(more, dtype=np.uint64).reshape(-1, 2)
-            src, dst = np.concatenate([a, ends[:, 0]]).view(np.int64), np.concatenate([b, ends[:, 1]]).view(np.int64)
-            return pa.record_batch([pa.array(src), pa.array(dst)], names=["src", "dst"])
+            close = two[_distance(fps[two], fps[two + 1]) <= max_bits]
+            more = [x for at, n in zip(start[:-1][size > 2].tolist(), size[size > 2].tolist()) for x in _forest(node[at : at + n], fps[at : at + n], max_bits)]
+            ends = np.array(more, dtype=np.int64).reshape(-1, 2)
+            return pa.record_batch([pa.array(np.concatenate([node[close], ends[:, 0]])), pa.array(np.concatenate([node[close + 1], ends[:, 1]]))], names=["src", "dst"])
 
         for batch in batches:
-            rows = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("combination", "block", "tile", "fp")])
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             rows = np.concatenate([kept, rows])
             if not len(rows):
                 continue
@@ -144,13 +204,14 @@ def _linked_in_runs(max_bits: int):
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = 4, matched: int = 2, tile: int = 32768) -> DataFrame:
-    """(src, dst): links that connect the same fingerprints as all pairs within ``max_bits`` do.
+def links(distinct: DataFrame, keys: list, words: list[str], max_bits: int, tile: int = 32768) -> DataFrame:
+    """(src, dst): links that connect the same fingerprints as all pairs that share a key and differ in at most ``max_bits`` do.
 
-    ``distinct`` has a column fp without repeats. ``matched`` more equal blocks
-    make more and finer keys; two give 21 bits a key, four give 32.
+    ``distinct`` has fp, which names a fingerprint, and its ``words``, without repeats.
     """
-    keyed = distinct.select("fp", F.explode(F.array(*block_keys("fp", max_bits, matched))).alias("k")).select("fp", "k.combination", "k.block")
+    keyed = distinct.select("fp", *[F.col(w).alias(f"_{w}") for w in words], F.explode(F.array(*keys)).alias("k"))
+    names = [f"_{w}" for w in words]
+    keyed = keyed.select("fp", *names, "k.combination", "k.block")
     hot = materialize(keyed.groupBy("combination", "block").count().where(F.col("count") > tile), "hot-blocks")
     if hot.isEmpty():
         tiled = keyed.withColumn("tile", F.lit(0))
@@ -159,20 +220,21 @@ def links(distinct: DataFrame, max_bits: int = 4, matched: int = 2, tile: int =
         own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         met = F.sequence(F.lit(0), F.col("chunks") - 1)
         tile_of = F.transform(met, lambda other: F.greatest(F.col("own"), other) * F.col("chunks") + F.least(F.col("own"), other))
-        tiled = keyed.join(hot, ["combination", "block"], "left").withColumn("chunks", chunks).withColumn("own", own).select("fp", "combination", "block", F.explode(tile_of).alias("tile"))
+        tiled = keyed.join(hot, ["combination", "block"], "left").withColumn("chunks", chunks).withColumn("own", own).select("fp", *names, "combination", "block", F.explode(tile_of).alias("tile"))
     by = ["combination", "block", "tile"]
-    return tiled.select(*by, "fp").repartition(*by).sortWithinPartitions(*by).mapInArrow(_linked_in_runs(max_bits), "src long, dst long")
+    return tiled.select(*by, "fp", *names).repartition(*by).sortWithinPartitions(*by).mapInArrow(_linked_in_runs(max_bits, len(words)), "src long, dst long")
 
 
-def classes(prints: DataFrame, max_bits: int = 4, matched: int = 2) -> DataFrame:
-    """(fp, leader, component_id): the class of each fingerprint of (doc_id, fp, text_hash).
+def classes(prints: DataFrame, keys: list, words: list[str], max_bits: int) -> DataFrame:
+    """(fp, leader, component_id): the class of each fingerprint of (doc_id, fp, its words, text_hash).
 
     leader is the least (doc_id, text_hash) of the class, a null doc_id after
     all others; component_id is its doc_id.
     """
     row = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
-    least = materialize(prints.groupBy("fp").agg(F.min(row).alias("least")), "fingerprints")
-    linked = connected_components(links(least.select("fp"), max_bits, matched))
+    own = list(dict.fromkeys(["fp", *words]))
+    least = materialize(prints.groupBy(*own).agg(F.min(row).alias("least")), "fingerprints")
+    linked = connected_components(links(least.select(*own), keys, words, max_bits))
     root = materialize(least.join(linked, least.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "roots")
     named = root.groupBy("root").agg(F.min("least").alias("leader"))
     return root.select("fp", "root").join(named, "root").select("fp", "leader", F.col("leader.doc_id").alias("component_id"))
@@ -185,18 +247,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id names a class only if it has no other. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
-    named = prints.join(classes(prints, max_bits, matched), "fp")
+    named = prints.join(classes(prints, block_keys("fp", max_bits, matched), ["fp"], max_bits), "fp")
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, max_bits: int = 4, matched: int = 2) -> DataFrame:
-    """The row of ``docs`` that leads each class: one document of each group stays, with all its columns.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 40) -> DataFrame:
+    """The row of ``docs`` that leads each class of near copies: one document of each group stays, with all its columns.
+
+    Near copies share about 0.8 of their five-word shingles. Sixty-four bits
+    can't tell that: copies at 0.8 differ in ten places on average, and a
+    bound that takes them in leaves blocks of a few bits. So fingerprints here
+    have 256 bits, where 0.8 is 39 differing places; blocks are 12 bits, of
+    which such a pair shares one of twenty with a chance of 0.95, and the
+    distance over all 256 bits is verified. Exact copies always meet.
 
     The leader has the least id, then the least text hash; of rows that repeat
     both id and text one stays.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
-    leaders = classes(prints, max_bits, matched).select(F.col("leader.doc_id").alias("_id"), F.col("leader.text_hash").alias("_hash")).distinct()
+    prints = materialize(wide_fingerprints(docs, id_col, text_col, shingle), "prints")
+    leaders = classes(prints, wide_keys(), _names(WIDE), max_bits).select(F.col("leader.doc_id").alias("_id"), F.col("leader.text_hash").alias("_hash")).distinct()
     hashed = docs.withColumn("_text_hash", F.xxhash64(text_col))
     kept = hashed.join(leaders, hashed[id_col].cast("long").eqNullSafe(leaders["_id"]) & (hashed["_text_hash"] == leaders["_hash"]), "left_semi")
     return kept.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

@@ -13,7 +13,7 @@ def score(item, text):
         for j, b in enumerate(text):
             row.append(max(0, above[j] + (2 if a == b else -1), above[j + 1] - 1, row[j] - 1))
         best, above = max(best, *row), row
-    return best / (2 * min(len(item), D.FULL_WORDS))
+    return min(1.0, best / (2 * min(len(item), D.FULL_WORDS)))
 
 
 def fixture():

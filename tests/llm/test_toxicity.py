@@ -1,11 +1,15 @@
+import random
 import zlib
 
 from citeweave.llm import toxicity as T
 
 
 def model():
-    clean = [(f"the quiet river runs past stone {k} and market", 0) for k in range(60)]
-    toxic = [(f"you are an idiot and total scum near the river {k}", 1) for k in range(20)]
+    rng = random.Random(1)
+    some = "the quiet river runs past a stone and you are an old market total near".split()
+    line = lambda k: " ".join(rng.choice(some) for _ in range(12)) + f" {k}"
+    clean = [(line(k), 0) for k in range(300)]
+    toxic = [(f"{line(k)} idiot scum {line(k)}", 1) for k in range(60)]
     return T.learn(clean + toxic, 0.25)
 
 
@@ -44,6 +48,6 @@ def test_held_out_accuracy():
     a = m.automaton()
     import numpy as np
 
-    texts = [("scum like you " * 3, 1), ("an idiot wrote this", 1), ("stone and market by the river", 0), ("", 0)]
+    texts = [("scum like you " * 3, 1), ("an idiot wrote this old scum", 1), ("stone and market by the river", 0), ("", 0)]
     p = 1 / (1 + np.exp(-T._features([T.measure(T.fold(t), a) for t, _ in texts]) @ np.array(m.curve)))
     assert [int(x >= 0.3) for x in p] == [y for _, y in texts]
