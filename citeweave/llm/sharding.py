@@ -148,7 +148,7 @@ def shard(docs: DataFrame, shards: int = 8, dimensions: dict[str, Column] | None
     an empty table gives no rows.
     """
     if dimensions is None:
-        dimensions = default_dimensions(text_col)
+        dimensions = default_dimensions(docs, text_col)
     points = coordinates(docs, dimensions, id_col, text_col)
     rows, total = points.agg(F.count(F.lit(1)), F.sum("size")).first()
     if target_bytes:
@@ -166,7 +166,9 @@ def shard(docs: DataFrame, shards: int = 8, dimensions: dict[str, Column] | None
     return slots.select("doc_id", "size", "text_crc32", "shard", (F.col("_own") + F.col("_ahead")).cast("long").alias("slot"))
 
 
-def default_dimensions(text_col: str = "text") -> dict[str, Column]:
+def default_dimensions(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
     """Text size on a log scale and, where the table has it, language: the same for equal texts."""
     size = F.log2(F.octet_length(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) + 1) / 40
-    return {"_d_size": size, "_d_lang": F.crc32(F.coalesce(F.col("lang"), F.lit("")).cast("binary")) / float(1 << 32)}
+    if "lang" not in docs.columns:
+        return {"_d_size": size}
+    return {"_d_size": size, "_d_lang": F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")).cast("binary")) / float(1 << 32)}

@@ -251,13 +251,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 40) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 44) -> DataFrame:
     """The row of ``docs`` that leads each class of near copies: one document of each group stays, with all its columns.
 
     Near copies share about 0.8 of their five-word shingles. Sixty-four bits
     can't tell that: copies at 0.8 differ in ten places on average, and a
     bound that takes them in leaves blocks of a few bits. So fingerprints here
-    have 256 bits, where 0.8 is 39 differing places; blocks are 12 bits, of
+    have 256 bits, where 0.8 is 39 differing places with a deviation of 6;
+    blocks are 12 bits, of
     which such a pair shares one of twenty with a chance of 0.95, and the
     distance over all 256 bits is verified. Exact copies always meet.
 
