@@ -47,7 +47,7 @@ def order(global_count: Column | None = None) -> list[Column]:
 def top(records: DataFrame, n: int, global_count: Column | None = None) -> DataFrame:
     """The ``n`` best records with their rank, for reports."""
     best = records.orderBy(*order(global_count)).limit(n)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order(global_count))))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order(global_count))).cast("long"))
 
 
 def rank_all(records: DataFrame, global_count: Column | None = None, partitions: int = 0) -> DataFrame:

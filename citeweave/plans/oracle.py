@@ -48,7 +48,7 @@ FROM (SELECT *, split_part('{names}', ',', cast(conv_id % 10 + 1 as int)) AS s,
 """
 #: Papers with header, body, a heading and references in one of three layouts.
 RENDER_SECTIONS = """
-SELECT citing_paper_id AS paper, lay,
+SELECT concat(citing_paper_id, '-', cast(lay as string)) AS paper, lay,
   concat('On ', citing_paper_id, ' and its works', chr(10), 'doi:10.1234/abc.', substr(citing_paper_id, 2), ' arXiv: 2101.01234v2', chr(10), 'Published 2019.', chr(10), 'Body text.', chr(10), chr(10), 'References', chr(10), body, chr(10), 'Appendix', chr(10), 'More.') AS text
 FROM ({inner}) AS d
 """
@@ -122,9 +122,10 @@ CTES: list[tuple[str, str]] = [
     ("ocs", rf"SELECT occ.*, regexp_replace(raw_ref, '^\s+|\s+$', '', 'g') AS bare FROM occ"),
     ("ocl", f"SELECT ocs.*, {_preclean()} AS cleaned FROM ocs"),
     ("oc", "SELECT paper, page, raw_ref, coalesce(a.canonical_id, z.canonical_id) AS canonical_id FROM ocl LEFT JOIN xm a ON ocl.raw_ref = a.raw LEFT JOIN xm z ON ocl.cleaned = z.raw WHERE coalesce(a.canonical_id, z.canonical_id) IS NOT NULL"),
-    ("sd", RENDER_SECTIONS.replace("{inner}", "SELECT citing_paper_id, l_layout AS lay, CASE WHEN l_layout = 2 THEN string_agg(raw, chr(10) || chr(10) ORDER BY k) ELSE string_agg(concat(CASE l_layout WHEN 0 THEN concat('[', cast(k as string), '] ') ELSE concat(cast(k as string), '. ') END, raw), chr(10) ORDER BY k) END AS body FROM (SELECT *, row_number() OVER (PARTITION BY citing_paper_id ORDER BY ord) AS k, cast(substr(citing_paper_id, 2) as int) % 3 AS l_layout FROM r WHERE line % 6 <> 5) GROUP BY 1, 2")),
+    ("sb", "SELECT citing_paper_id, lay, CASE WHEN lay = 2 THEN string_agg(raw, chr(10) || chr(10) ORDER BY k) ELSE string_agg(concat(CASE lay WHEN 0 THEN concat('[', cast(k as string), '] ') ELSE concat(cast(k as string), '. ') END, raw), chr(10) ORDER BY k) END AS body FROM (SELECT *, row_number() OVER (PARTITION BY citing_paper_id ORDER BY ord) AS k FROM r WHERE line % 6 <> 5), (SELECT unnest([0, 1, 2]) AS lay) GROUP BY 1, 2"),
+    ("sd", RENDER_SECTIONS.replace("({inner}) AS d", "sb")),
     ("ss", r"SELECT paper, lay, text, regexp_replace(string_split_regex(string_split_regex(text, '(?im)^\s*(?:references|bibliography|works cited)\s*$')[-1], '(?im)^\s*(?:appendix|appendices|acknowledge?ments?|supplementary materials?|funding|author contributions)\s*$')[1], '^\s+|\s+$', '', 'g') AS section FROM sd"),
-    ("sr0", r"SELECT paper, unnest(list_filter(list_transform(CASE WHEN lay = 0 AND len(regexp_extract_all(section, '(?m)^\s*\[(\d+)\]\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\[\d+\]\s+', chr(1) || '\0', 'g'), chr(1))[2:] WHEN lay = 1 AND len(regexp_extract_all(section, '(?m)^\s*(\d+)\.\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\d+\.\s+', chr(1) || '\0', 'g'), chr(1))[2:] ELSE string_split_regex(section, '\n\s*\n') END, lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: length(t) >= 20)) AS raw_ref FROM ss"),
+    ("sr0", r"SELECT paper, lay, unnest(list_filter(list_transform(CASE WHEN lay = 0 AND len(regexp_extract_all(section, '(?m)^\s*\[(\d+)\]\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\[\d+\]\s+', chr(1) || '\0', 'g'), chr(1))[2:] WHEN lay = 1 AND len(regexp_extract_all(section, '(?m)^\s*(\d+)\.\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\d+\.\s+', chr(1) || '\0', 'g'), chr(1))[2:] ELSE string_split_regex(section, '\n\s*\n') END, lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: length(t) >= 20)) AS raw_ref FROM ss"),
 ]
 _NAMES = [n for n, _ in CTES]
 

@@ -211,13 +211,12 @@ def q_cocitation_rank(spark, d):
     return cocite.rank_all(_records(spark, d)).select("canonical_id", "title", "surname", "year", "cocitation_count", "rank")
 
 
-WORLD = "SELECT xk.*, w.c AS global_citation_count FROM xk LEFT JOIN (SELECT canonical_id, sum(l_quantity)::BIGINT AS c FROM (SELECT xr.canonical_id, xr.ord, 1 AS l_quantity FROM xr WHERE partkey % 3 = 0) GROUP BY 1) w USING (canonical_id)"
+WORLD = "SELECT xk.*, w.c AS global_citation_count FROM xk LEFT JOIN (SELECT canonical_id, sum(l_quantity)::BIGINT AS c FROM (SELECT xr.canonical_id, xr.ord, 1 AS l_quantity FROM xr) GROUP BY 1) w USING (canonical_id)"
 
 
 @query(f"SELECT canonical_id, cocitation_count, global_citation_count, row_number() OVER (ORDER BY cocitation_count DESC, coalesce(global_citation_count, 0) DESC, lower(title), canonical_id) AS rank FROM ({WORLD})", "xr")
 def q_enrich_rank(spark, d):
-    resolved = refs.materialize(_resolved(spark, d).select("canonical_id", "partkey"), "resolved")
-    world = resolved.where(C("partkey") % 3 == 0).groupBy("canonical_id").agg(F.count(F.lit(1)).alias("cited_by_count")).select(F.concat(F.lit("https://doi.org/10.1/"), "canonical_id").alias("doi"), "cited_by_count")
+    world = _resolved(spark, d).groupBy("canonical_id").agg(F.count(F.lit(1)).alias("cited_by_count")).select(F.concat(F.lit("https://doi.org/10.1/"), "canonical_id").alias("doi"), "cited_by_count")
     records = _records(spark, d).withColumn("doi", F.concat(F.lit("10.1/"), "canonical_id"))
     return cocite.rank_all(cocite.enrich(records, world), C("global_citation_count")).select("canonical_id", "cocitation_count", "global_citation_count", "rank")
 
@@ -333,12 +332,14 @@ def q_citance_violations(spark, d):
 
 
 def _sections(spark, d):
-    rows = refs.refs(spark, d).where("line % 6 <> 5").withColumn("lay", (F.substring("citing_paper_id", 2, 30).cast("int") % 3))
+    """Every paper in three layouts: bracket numbers, plain numbers, blank lines."""
+    rows = refs.refs(spark, d).where("line % 6 <> 5")
     w = cocite.Window.partitionBy("citing_paper_id").orderBy("ord")
-    numbered = rows.withColumn("k", F.row_number().over(w))
-    mark = F.when(C("lay") == 0, F.concat(F.lit("["), C("k").cast("string"), F.lit("] "))).when(C("lay") == 1, F.concat(C("k").cast("string"), F.lit(". "))).otherwise("")
-    parts = numbered.groupBy("citing_paper_id", "lay").agg(F.sort_array(F.collect_list(F.struct("k", F.concat(mark, "raw").alias("t")))).alias("a"))
-    inner = parts.select("citing_paper_id", "lay", F.array_join(F.transform("a", lambda x: x["t"]), "\n").alias("one"), F.array_join(F.transform("a", lambda x: x["t"]), "\n\n").alias("two")).select("citing_paper_id", "lay", F.when(C("lay") == 2, C("two")).otherwise(C("one")).alias("body"))
+    numbered = rows.withColumn("k", F.row_number().over(w)).groupBy("citing_paper_id").agg(F.sort_array(F.collect_list(F.struct("k", "raw"))).alias("a"))
+    k, lay = lambda x: x["k"].cast("string"), C("lay")
+    line = lambda x: F.concat(F.when(lay == 0, F.concat(F.lit("["), k(x), F.lit("] "))).when(lay == 1, F.concat(k(x), F.lit(". "))).otherwise(""), x["raw"])
+    laid = numbered.select("citing_paper_id", "a", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("lay"))
+    inner = laid.select("citing_paper_id", "lay", F.array_join(F.transform("a", line), "\n").alias("one"), F.array_join(F.transform("a", line), "\n\n").alias("two")).select("citing_paper_id", "lay", F.when(lay == 2, C("two")).otherwise(C("one")).alias("body"))
     shown = spark.sql(RENDER_SECTIONS.replace("({inner}) AS d", "{inner}"), inner=inner)
     return parse.documents(shown.select("paper", F.lit(1).alias("page"), "text"))
 
@@ -348,36 +349,29 @@ def q_reference_section(spark, d):
     return parse.reference_section(_sections(spark, d)).select("paper", C("section.text").alias("section"))
 
 
-SPLIT = "SELECT sr0.paper, raw_ref FROM sr0 WHERE paper IN (SELECT paper FROM ss WHERE lay IN ({})) "
+def _split(spark, d, lay):
+    return parse.references(parse.reference_section(_sections(spark, d)).where(F.endswith("paper", F.lit(f"-{lay}")))).select("paper", "raw_ref")
 
 
-def _split(spark, d, lays):
-    docs = parse.reference_section(_sections(spark, d)).where((F.substring("paper", 2, 30).cast("int") % 3).isin(*lays))
-    return parse.references(docs).select("paper", "raw_ref")
-
-
-#: Papers with two references or more, where the layouts' own rules apply.
-MANY = " AND paper IN (SELECT paper FROM sr0 GROUP BY paper HAVING count(*) >= 2)"
-
-
-def _many(rows):
-    return rows.join(rows.groupBy("paper").count().where("count >= 2").select("paper"), "paper", "left_semi")
+@query("SELECT paper, raw_ref FROM sr0 WHERE lay = 0", "sr0")
+def q_split_numbered(spark, d):
+    return _split(spark, d, 0)
 
 
-@query(SPLIT.format("0, 1") + MANY, "sr0")
-def q_split_numbered(spark, d):
-    return _many(_split(spark, d, (0, 1)))
+@query("SELECT paper, raw_ref FROM sr0 WHERE lay = 1", "sr0")
+def q_split_plain_numbers(spark, d):
+    return _split(spark, d, 1)
 
 
-@query(SPLIT.format("2") + MANY, "sr0")
+@query("SELECT paper, raw_ref FROM sr0 WHERE lay = 2", "sr0")
 def q_split_blankline(spark, d):
-    return _many(_split(spark, d, (2,)))
+    return _split(spark, d, 2)
 
 
 @query()
 def q_split_wrapped(spark, d):
     (docs,) = refs.tables(spark, d, "documents")
-    lines = F.concat_ws("\n", F.lit("Smith, J. (2020). Deep learning for"), F.lit("citations. Venue."), F.lit("Jones, B. 2021. A hyphen-"), F.lit("ated title. Venue."), F.substring("text", 1, 1 << 30))
+    lines = F.concat_ws("\n", F.lit("Smith, J. (2020). Deep learning for"), F.lit("citations. Venue."), F.lit("Jones, B. 2021. A hyphen-"), F.lit("ated title. Venue."), "text")
     return docs.select("doc_id", F.explode(parse.split_references(lines)).alias("raw_ref"))
 
 
@@ -462,7 +456,7 @@ def q_pair_f1(spark, d):
 @query()
 def q_stage0_greedy_match(spark, d):
     rows = _bibliography(spark, d).select("paper", C("ordinal").alias("ord"), C("raw_ref").alias("ref"))
-    predicted = rows.select("paper", "ord", text.preclean(C("ref")).alias("ref")).where("ref is not null and ord % 4 <> 0")
+    predicted = rows.select("paper", "ord", text.preclean(C("ref")).alias("ref")).where("ref is not null")
     return evaluate.reference_scores(evaluate.greedy_matches(predicted, rows))
 
 
@@ -480,12 +474,12 @@ def q_cache_split(spark, d):
     return hit.select(F.lit("hit").alias("state")).union(miss.select(F.lit("miss").alias("state"))).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE (props->>'k')::INT % 2 = 0 GROUP BY 1")
+@query("SELECT event_type, count(*) AS n FROM events WHERE (props->>'k')::INT >= 50 GROUP BY 1")
 def q_quarantine(spark, d):
-    """Rows whose JSON breaks a rule (here: an even k) leave the valid stream."""
+    """Rows whose JSON breaks a rule (here: k of 50 or more) leave the valid stream."""
     (events,) = refs.tables(spark, d, "events")
     parsed = events.withColumn("p", F.from_json("props", "k int, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    bad = C("p._corrupt").isNotNull() | C("p.k").isNull() | (C("p.k") % 2 == 0)
+    bad = C("p._corrupt").isNotNull() | C("p.k").isNull() | (C("p.k") >= 50)
     return parsed.where(bad).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
