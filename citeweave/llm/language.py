@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.llm.batches import slices, words
+from citeweave.sources.scratch import materialize
 
 MAX_PIECE = 5
+#: Sample ids (8 bytes each) up to which their table is broadcast.
+BROADCAST_IDS = 200_000
 #: A longer run of letters is scored as consecutive runs of this many.
 MAX_RUN = 40
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -149,6 +152,9 @@ def sample_counts(docs: DataFrame, per_language: int) -> dict[str, Counter]:
     """Letter runs of at most ``per_language`` rows of each language, chosen by id hash strata."""
     stratum = F.pmod(F.xxhash64("doc_id"), F.lit(per_language))
     chosen = docs.where("lang is not null and text is not null").groupBy("lang", stratum.alias("_s")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    chosen = materialize(chosen, "language-sample")
+    # at most per_language ids a language; beyond the checked size the join shuffles
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     rows = docs.where("lang is not null and text is not null").join(chosen, "doc_id", "left_semi").select("lang", "text")
     out: dict[str, Counter] = {}
     for row in rows.toLocalIterator():
