@@ -59,7 +59,7 @@ def trigram_buckets(title: Column) -> Column:
 
 def counts_vector(buckets: Column) -> Column:
     """Counts of the buckets as an array of 64 doubles."""
-    return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
+    return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: (F.size(buckets) - F.size(F.array_remove(buckets, b))).cast("double"))
 
 
 def dot(a: Column, b: Column) -> Column:

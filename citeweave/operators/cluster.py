@@ -54,7 +54,7 @@ def _scores(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return frame.n.to_numpy(), frame.own.to_numpy(), (v @ v.T) / (size[:, None] * size[None, :] + 1e-12)
 
 
-def similar_pairs(nodes: DataFrame, keys: list[str], low: float = LOW, node: str = "node", tile: int = 1000) -> DataFrame:
+def similar_pairs(nodes: DataFrame, keys: list[str], low: float = LOW, node: str = "node", tile: int = 1500) -> DataFrame:
     """(src, dst, score): all node pairs of a block with cosine of at least ``low``, src < dst. Null keys equal each other."""
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
@@ -69,18 +69,19 @@ def similar_pairs(nodes: DataFrame, keys: list[str], low: float = LOW, node: str
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
-    """Least index that each row reaches."""
-    label = np.arange(len(linked))
-    while True:
-        near = np.where(linked, label[None, :], len(label)).min(axis=1)
-        new = np.minimum(label, near)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def tile_links(nodes: DataFrame, keys: list[str], auto: float = AUTO, low: float = LOW, node: str = "node", tile: int = 1000) -> DataFrame:
+    """Least index that each row reaches; every row is expanded once."""
+    label = np.full(len(linked), -1)
+    for k in range(len(linked)):
+        if label[k] >= 0:
+            continue
+        frontier = np.array([k])
+        while len(frontier):
+            label[frontier] = k
+            frontier = np.flatnonzero(linked[frontier].any(axis=0) & (label < 0))
+    return label
+
+
+def tile_links(nodes: DataFrame, keys: list[str], auto: float = AUTO, low: float = LOW, node: str = "node", tile: int = 1500) -> DataFrame:
     """(kind, src, dst, score): what clustering needs of a tile's pairs, at most three rows a node.
 
     Kinds auto and all tie every node to the least one it reaches in the tile

@@ -102,3 +102,53 @@ def citing_context(rows: DataFrame, citances: DataFrame) -> DataFrame:
 def topic(title: Column) -> Column:
     """Search topic of a paper offline: eighty characters of its title, else a fixed one."""
     return F.coalesce(F.nullif(F.trim(F.substring(title, 1, 80)), F.lit("")), F.lit("machine learning"))
+
+
+def download_with(rows: DataFrame, fetch: Callable[[str], tuple[str, bytes]], retries: int = 2, pause: float = 1.5, least: int = 1000) -> DataFrame:
+    """(url, content, error) of rows(url): ``fetch`` gives (content type, bytes).
+
+    A failed try is repeated ``retries`` times after ``pause`` times the try's
+    number in seconds. Refused: other types than PDF unless the address ends in
+    .pdf, and files under ``least`` bytes.
+    """
+
+    def one(url: str) -> tuple[bytes | None, str | None]:
+        import time
+
+        why = ""
+        for attempt in range(retries + 1):
+            try:
+                kind, content = fetch(url)
+                if "pdf" not in kind.lower() and not url.lower().endswith(".pdf"):
+                    return None, f"not a PDF: {kind}"
+                return (content, None) if len(content) >= least else (None, f"{len(content)} bytes")
+            except Exception as e:  # noqa: BLE001  any network error is one more try
+                why = str(e)
+                if attempt < retries:
+                    time.sleep(pause * (attempt + 1))
+        return None, why
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = [one(u) for u in frame.url]
+            yield pd.DataFrame({"url": frame.url, "content": [c for c, _ in got], "error": [e for _, e in got]})
+
+    return rows.select("url").mapInPandas(run, "url string, content binary, error string")
+
+
+def lookup_works(rows: DataFrame, works: DataFrame, most: int = 5) -> DataFrame:
+    """(ord, found): up to ``most`` works(title, year, ...) for each of rows(ord, title, year), offline in place of a web search.
+
+    Works share the first three words of the title; an equal title and year come first.
+    """
+    from citeweave.functions.text import eval_form
+
+    key = lambda c: F.array_join(F.slice(F.split(eval_form(c), " "), 1, 3), " ")
+    wanted = rows.where("title is not null").select("ord", eval_form(F.col("title")).alias("_t"), F.col("year").alias("_y"), key(F.col("title")).alias("_k"))
+    known = works.where("title is not null").withColumn("_k", key(F.col("title")))
+    fields = [c for c in works.columns]
+    scored = wanted.join(known, "_k").select("ord", F.struct((eval_form(F.col("title")) != F.col("_t")).alias("other_title"), (~F.col("year").eqNullSafe(F.col("_y"))).alias("other_year"), F.struct(*fields).alias("work")).alias("s"))
+    from pyspark.sql import Window
+
+    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("ord").orderBy("s"))).where(F.col("_n") <= most)
+    return best.groupBy("ord").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["work"]).alias("found"))

@@ -81,3 +81,53 @@ def test_stream_takes_each_marker_once(spark, tmp_path):
         stream = ingest.distinct_citances(ingest.stream_citances(spark, str(tmp_path / "in")))
         ingest.append_to(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_discovery_to_ranking(spark):
+    from citeweave.plans import discovery
+
+    works = spark.createDataFrame([(f"W{k:04d}", "A1", f"topic paper {k}", 2000 + k, None, 10 * k, "a.pdf", 1.0) for k in range(3)] + [("S", "A2", "Shared foundations of citing", 2020, "https://doi.org/10.1/x", 77, None, 0.0)], "work_id string, author_id string, title string, year int, doi string, cited_by_count int, pdf_url string, relevance_score double")
+    out = discovery.run_discovery(works, pipeline.stub_papers(spark), 3, topic="topic")
+    first = out["ranked"].orderBy("rank").first()
+    assert out["mode"] == "topic" and (first.title, first.cocitation_count, first.global_citation_count, first.in_text_hits) == ("Shared foundations of citing", 3, 77, 6)
+    assert discovery.display(out["ranked"]).count() == 5
+
+
+def test_cache_log_downloads_and_lookup(spark, tmp_path):
+    from citeweave.plans.log import StageLog
+    from citeweave.sources import cache
+
+    rows = spark.createDataFrame([("Smith 2020", "Smith", 2020, "old")], "cleaned string, surname string, year int, title string")
+    path = str(tmp_path / "cache")
+    assert cache.read(spark, path, "v").count() == 0
+    cache.append(rows, path, "v")
+    cache.append(rows.withColumn("title", F.lit("new")), path, "v")
+    hits, misses = cache.split(spark.createDataFrame([("Smith 2020",), ("Roe 2021",)], "cleaned string"), cache.read(spark, path, "v"))
+    assert [r.title for r in hits.collect()] == ["new"] and [r.cleaned for r in misses.collect()] == ["Roe 2021"]
+    log = StageLog(("a", "b"))
+    with pytest.raises(ValueError), log.running("a"):
+        raise ValueError("broken")
+    with log.running("b") as at:
+        at.progress("b", 1, 2)
+    assert log.snapshot()["a"]["status"] == "error" and "[b] done" in log.flat_text() and "broken" in log.flat_text()
+
+    def fetch(url):
+        if "fail" in url:
+            raise OSError("down")
+        return ("text/html" if "page" in url else "application/pdf"), b"x" * (10 if "small" in url else 2000)
+
+    urls = spark.createDataFrame([("u/fail",), ("u/page",), ("u/small.pdf",), ("u/ok",)], "url string")
+    got = {r.url: r for r in hooks.download_with(urls, fetch, pause=0).collect()}
+    assert got["u/ok"].error is None and got["u/fail"].error == "down" and got["u/page"].error.startswith("not a PDF") and got["u/small.pdf"].error == "10 bytes"
+    works = spark.createDataFrame([("On graphs and trees", 2001), ("On graphs and more", 2000)], "title string, year int")
+    found = hooks.lookup_works(spark.createDataFrame([(1, "On Graphs and trees!", 2001), (2, None, 1)], "ord long, title string, year int"), works).collect()
+    assert [(r.ord, r.found[0].title, len(r.found)) for r in found] == [(1, "On graphs and trees", 2)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from citeweave.__main__ import main
+
+    (tmp_path / "in.csv").write_text('raw,canonical_id\n"Smith, J. (2020). One title here. V.",g1\n"Smith J 2020. One title here. J.",g1\n"Roe, K. (2001). Other words. V.",g2\n')
+    main(["eval", str(tmp_path / "in.csv"), str(tmp_path / "out")])
+    assert "1.0" in capsys.readouterr().out
+    assert (tmp_path / "out" / "cocited_refs").exists()
