@@ -127,58 +127,68 @@ def learn(rows: Sequence[tuple[str | None, int]], prior: float, exceptions: tupl
     a longer entry stays only if it weighs clearly more than its beginnings.
     Equal texts count once. Without both labels every score is the prior.
     """
-    texts = list({t: (fold(t), y) for t, y in rows}.values())
-    toxic, clean = [w for w, y in texts if y], [w for w, y in texts if not y]
+    texts = [(" ".join(fold(t)), y) for t, y in dict(rows).items()]
+    toxic, clean = [t for t, y in texts if y], [t for t, y in texts if not y]
     logit = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     if not toxic or not clean:
         return Model({}, {}, exceptions, (logit, 0.0, 0.0, 0.0, 0.0))
 
-    def entries(words: Sequence[str], wanted=None) -> Counter:
+    def entries(text: str, wanted=None) -> Counter:
+        """Counts of whole words and of word beginnings, which end in a star."""
         found: Counter = Counter()
-        for w, n in Counter(words).items():
-            for key in [(w, True), *((w[:k], False) for k in range(4, min(len(w), 11)))]:
+        for w, n in Counter(text.split()).items():
+            for key in (w, *(f"{w[:k]}*" for k in range(4, min(len(w), 11)))):
                 if wanted is None or key in wanted:
                     found[key] += n
         return found
 
-    docs, hits = Counter(), Counter()
-    for words in toxic:
-        own = entries(words)
-        docs.update(own.keys())
-        hits.update(own)
-    wanted = {k for k, n in docs.items() if n >= support}
-    base, seen = Counter(), Counter()
-    for words in clean:
-        own = entries(words, wanted)
-        base.update(own)
-        seen.update(own.keys())
-    n_toxic, n_clean = max(1, sum(map(len, toxic))), max(1, sum(map(len, clean)))
+    def counted(part: list[str]) -> tuple[Counter, Counter]:
+        docs, hits = Counter(), Counter()
+        for text in part:
+            own = entries(text, wanted)
+            docs.update(own.keys())
+            hits.update(own)
+        return docs, hits
+
+    wanted: set[str] | None = None
+    wanted = {k for k, n in _document_counts(toxic, entries).items() if n >= support}
+    docs, hits = counted(toxic)
+    seen, base = counted(clean)
+    n_toxic, n_clean = max(1, sum(t.count(" ") + 1 for t in toxic)), max(1, sum(t.count(" ") + 1 for t in clean))
     top: Counter = Counter()
-    for (word, whole), n in hits.items():
-        for k in range(4, min(len(word), 11)) if whole else ():
-            top[word[:k]] = max(top[word[:k]], n)
-    weights: dict[tuple[str, bool], float] = {}
+    for word, n in hits.items():
+        for k in range(4, min(len(word), 11)) if word[-1] != "*" else ():
+            top[f"{word[:k]}*"] = max(top[f"{word[:k]}*"], n)
+    weights: dict[str, float] = {}
     for key in wanted:
-        if not key[1] and top[key[0]] >= 0.8 * hits[key]:
+        if top[key] >= 0.8 * hits[key]:
             continue  # one word explains this beginning
         ratio = math.log((hits[key] + 0.5) / n_toxic) - math.log((base[key] + 0.5) / n_clean)
         expected = len(toxic) * (seen[key] + 0.5) / len(clean)
         if ratio >= least and (docs[key] - expected) / math.sqrt(expected + 1) >= 3:
             weights[key] = ratio
-    kept: dict[tuple[str, bool], float] = {}
-    for key in sorted(weights, key=lambda k: (len(k[0]), k[1], k[0])):
-        shorter = max((kept.get((key[0][:n], False), 0.0) for n in range(4, len(key[0]) + 1)), default=0.0)
+    kept: dict[str, float] = {}
+    for key in sorted(weights, key=lambda k: (len(k.rstrip("*")), k)):
+        shorter = max((kept.get(f"{key[:n]}*", 0.0) for n in range(4, len(key.rstrip("*")) + 1)), default=0.0)
         if weights[key] > shorter + (0.5 if shorter else 0.0):
             kept[key] = weights[key]
-    model = Model({w: x for (w, whole), x in kept.items() if whole}, {w: x for (w, whole), x in kept.items() if not whole}, exceptions, (0.0,))
+    model = Model({w: x for w, x in kept.items() if w[-1] != "*"}, {w[:-1]: x for w, x in kept.items() if w[-1] == "*"}, exceptions, (0.0,))
     automaton = model.automaton()
-    x = _features([measure(w, automaton) for w, _ in texts])
+    x = _features([measure(t.split(), automaton) for t, _ in texts])
     y = np.array([label for _, label in texts], float)
     curve = _logistic(x, y)
     curve[0] += logit - math.log(len(toxic) / len(clean))
     return Model(model.whole, model.starts, exceptions, tuple(curve.tolist()))
 
 
+def _document_counts(texts: list[str], entries) -> Counter:
+    """In how many texts each entry is."""
+    found: Counter = Counter()
+    for text in texts:
+        found.update(entries(text).keys())
+    return found
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, weight, hits): score from 0 to 1 of every whole text; empty and null texts have no hits."""
 
