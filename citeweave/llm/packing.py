@@ -37,7 +37,7 @@ Pattern = tuple[tuple[int, int], ...]
 Solution = dict[Pattern, int]
 
 #: Words whose ids a Python worker remembers before it starts anew.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 150_000
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Trailing characters that are a token group of their own; none can begin a contraction or a special token.
 PUNCTUATION = "".join(c for c in string.punctuation if c not in "'<|>")
