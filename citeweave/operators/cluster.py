@@ -54,7 +54,7 @@ def _scores(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return frame.n.to_numpy(), frame.own.to_numpy(), (v @ v.T) / (size[:, None] * size[None, :] + 1e-12)
 
 
-def similar_pairs(nodes: DataFrame, keys: list[str], low: float = LOW, node: str = "node", tile: int = 1500) -> DataFrame:
+def similar_pairs(nodes: DataFrame, keys: list[str], low: float = LOW, node: str = "node", tile: int = 500) -> DataFrame:
     """(src, dst, score): all node pairs of a block with cosine of at least ``low``, src < dst. Null keys equal each other."""
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
@@ -81,7 +81,7 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def tile_links(nodes: DataFrame, keys: list[str], auto: float = AUTO, low: float = LOW, node: str = "node", tile: int = 1500) -> DataFrame:
+def tile_links(nodes: DataFrame, keys: list[str], auto: float = AUTO, low: float = LOW, node: str = "node", tile: int = 500) -> DataFrame:
     """(kind, src, dst, score): what clustering needs of a tile's pairs, at most three rows a node.
 
     Kinds auto and all tie every node to the least one it reaches in the tile
