@@ -58,8 +58,9 @@ def trigram_buckets(title: Column) -> Column:
 
 
 def counts_vector(buckets: Column) -> Column:
-    """Counts of the buckets as an array of 64 doubles."""
-    return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: (F.size(buckets) - F.size(F.array_remove(buckets, b))).cast("double"))
+    """Counts of the buckets as an array of 64 doubles; the buckets are worked out once."""
+    count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: (F.size(own) - F.size(F.array_remove(own, b))).cast("double"))
+    return F.element_at(F.transform(F.array(buckets), count), 1)
 
 
 def dot(a: Column, b: Column) -> Column:
