@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is the query set, taken in blocks of bounded bytes; the corpus is
-never shuffled. A first pass counts in how many documents each benchmark
-n-gram occurs. From every ``stride`` consecutive n-grams of an item the rarest
-becomes a seed, so each stretch of ``n + stride - 1`` unedited words has one
-however common the item itself has become. A second pass finds seeds in every
-whole document and aligns each (document, item, diagonal) they point at.
+never shuffled. Every n-gram of an item is a seed: which of them an edited copy
+keeps cannot be told from how rare they are. One pass finds seeds in every
+whole document and aligns each (document, item, diagonal) they point at, unless
+the words in common bound the score below the threshold. A copy without ``n``
+words of the item in a row has no seed.
 """
 
 from __future__ import annotations
@@ -73,14 +73,11 @@ class Items:
             gram[: len(key)] = np.where(ok, at, -1)
         return numbers, row, gram, bounds
 
-    def seeds(self, frequency: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gram, item, position), by gram: the rarest of each window, the first on ties."""
-        found = set()
-        for item, at in enumerate(self.at):
-            rare = frequency[at]
-            for start in range(max(1, len(at) - stride + 1)):
-                found.add((int(at[k := start + int(np.argmin(rare[start : start + stride]))]), item, k))
-        table = np.array(sorted(found), np.int64).reshape(-1, 3)
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(gram, item, position) of every n-gram, by gram."""
+        size = np.fromiter(map(len, self.at), np.int64, len(self.at))
+        table = np.column_stack([np.concatenate(self.at), np.repeat(np.arange(len(size)), size), np.concatenate([np.arange(k) for k in size])])
+        table = table[np.lexsort(table.T[::-1])]
         return table[:, 0], table[:, 1], table[:, 2]
 
 
@@ -117,6 +114,13 @@ def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, start, end
 
 
+def common(items: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """At least as many words as any alignment of row k of ``items`` and row k of ``passages``, padded as for align, can match."""
+    row = np.arange(len(items))[:, None] * (int(max(items.max(), passages.max())) + 1)
+    own, other = np.where(items < 0, -1, items + row), np.where(passages < 0, -2, passages + row)
+    return np.minimum(np.isin(own, other).sum(axis=1), np.isin(other, own).sum(axis=1))
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -125,24 +129,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield sorted(((r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))  # about block_bytes
 
 
-def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.keys), np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, row, gram, _ = items.corpus(part.column("text"))
-                hit = gram >= 0
-                total += np.bincount(np.unique(row[hit] * len(total) + gram[hit]) % max(1, len(total)), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["gram", "n"])
-
-    out = np.zeros(len(items.keys), np.int64)
-    for r in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.gram] = r.n  # one row for each n-gram of the block at most
-    return out
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, stride: int = 4, slack: int = 8, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = 3, slack: int = 8, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): documents that hold an item or an edited copy of one.
 
     score is the best alignment score over the most that the item's words, or
@@ -157,7 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
         items = Items(block, n)
         if not items.ids:
             continue
-        part = own.mapInArrow(_finder(items, items.seeds(_frequencies(own, items), stride), threshold, slack), SCHEMA)
+        part = own.mapInArrow(_finder(items, items.seeds(), threshold, slack), SCHEMA)
         found = part if k == 0 else found.unionByName(part)
     return found
 
@@ -199,6 +186,10 @@ def _finder(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], thre
                         a = int(bounds[r] + first[j])
                         text = numbers[a : min(a + lengths[i] + 4 * slack, int(bounds[r + 1]))]
                         passage[j, : len(text)] = np.where(text < 0, -2, text)
+                    able = np.flatnonzero(MATCH * common(item, passage) >= threshold * most[some[:, 1]])
+                    if not len(able):
+                        continue
+                    some, first, item, passage = some[able], first[able], item[able], passage[able]
                     value, start, end = align(item, passage)
                     share = value / most[some[:, 1]]
                     for j in np.flatnonzero(share >= threshold).tolist():

@@ -70,3 +70,15 @@ def test_alignment_of_batches():
     items, texts = rng.integers(0, 6, (40, 12)), rng.integers(0, 6, (40, 30))
     got = D.align(items, texts)[0]
     assert [round(score(a.tolist(), b.tolist()) * 2 * 12) for a, b in zip(items, texts)] == got.tolist()
+
+
+def test_copies_with_an_edit_every_few_words_equal_brute_force(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(f"w{rng.randint(0, 4000)}" for _ in range(rng.randint(17, 59)))) for k in range(24)]
+    edited = lambda t, every: " ".join(f"x{rng.randint(0, 9999)}" if j % every == every - 1 else w for j, w in enumerate(t.split()))
+    docs = [(k, f"some words before {edited(t, 4 + k % 3)} and some after") for k, t in items]
+    docs += [(100 + k, t) for k, t in items if k % 2]  # verbatim copies count the n-grams that edits destroyed
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(d, i): round(s, 6) for d, t in docs for i, q in items if (s := score(D.word_list(q), D.word_list(t))) >= 0.5}
+    assert {(r.doc_id, r.item_id): round(r.score, 6) for r in got} == want
+    assert len(want) == 36
