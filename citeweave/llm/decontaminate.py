@@ -155,7 +155,7 @@ def _finder(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], thre
     most = MATCH * np.minimum(lengths, FULL_WORDS)
 
     def candidates(row: np.ndarray, gram: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, diagonal), diagonals within ``slack`` of one another as one."""
+        """Distinct (row, item, diagonal), diagonals within ``slack`` of the first as one."""
         at = np.flatnonzero(gram >= 0)
         low, high = np.searchsorted(gram_of, gram[at]), np.searchsorted(gram_of, gram[at], side="right")
         count = high - low
@@ -165,7 +165,11 @@ def _finder(items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], thre
         rows = np.unique(np.column_stack([row[where], item_of[hit], diagonal]), axis=0)
         if len(rows) < 2:
             return rows
-        new = np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1) | (np.diff(rows[:, 2]) > slack)])
+        fresh = np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)])
+        new, first = np.zeros(len(rows), bool), 0
+        for k, (other, diagonal) in enumerate(zip(fresh.tolist(), rows[:, 2].tolist())):
+            if other or diagonal > first + slack:
+                new[k], first = True, diagonal
         return rows[new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,3 +82,10 @@ def test_copies_with_an_edit_every_few_words_equal_brute_force(spark):
     want = {(d, i): round(s, 6) for d, t in docs for i, q in items if (s := score(D.word_list(q), D.word_list(t))) >= 0.5}
     assert {(r.doc_id, r.item_id): round(r.score, 6) for r in got} == want
     assert len(want) == 36
+
+
+def test_item_after_many_of_its_phrase(spark):
+    item = [f"w{k}" for k in range(40)]
+    docs = [(k, " ".join(item[:phrase] * 40 + item)) for k, phrase in enumerate((3, 5, 8))]
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.score, r.first_word, r.last_word) for r in got} == {(k, 1.0, 40 * p, 40 * p + 39) for k, p in enumerate((3, 5, 8))}
