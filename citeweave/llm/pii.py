@@ -35,8 +35,8 @@ SHAPE = {
     "card": r"^[0-9]{4}[0-9-]{9,19}[0-9]$",
     "phone": r"^[(]?[0-9][0-9().-]{5,16}[0-9]$",
 }
-#: A token with the two words before it: the word before must not itself look like an identifier.
-CANDIDATE = r"(?<!\S)[^\s0-9@]{1,40}+[\x20]++[^\s0-9@]{1,40}+[\x20]++(?=\S{0,60}(?:[0-9]{2}|@|\[at\]|\(at\)|:))[A-Za-z0-9(:]\S{5,60}+(?!\S)"
+#: A token of six characters or more that may have one of the shapes; no shape asks for less than the look-ahead.
+TOKEN = r"(?<!\S)(?=[(]?[0-9]|[0-9A-Fa-f]{0,4}:|[A-Za-z0-9._%+-]++(?:@|\[at\]|\(at\)))\S{6,}+"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -103,18 +103,18 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = rows.select("*", *[base_spans(F.col("_text"), k).alias(f"_{k}") for k in KINDS])
     tagged = lambda k, n: F.transform(f"_{k}", lambda s: F.struct(F.lit(n).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     based = found.select("rid", "doc_id", "_text", F.concat(*[tagged(k, n) for n, k in enumerate(KINDS)]).alias("base"))
-    seed = lambda s: F.struct(s["rank"].alias("rank"), _digits_or_lower(s).alias("value"), _cue(F.substring(F.col("_text"), F.greatest(s["start"] - 89, F.lit(1)), F.least(s["start"], F.lit(90)))).alias("cue"))
+    before = lambda s: F.substring(F.col("_text"), F.greatest(s["start"] - 89, F.lit(1)), F.least(s["start"], F.lit(90)))
+    seed = lambda s: F.struct(s["rank"].alias("rank"), _digits_or_lower(s).alias("value"), _cue(before(s)).alias("cue"))
     digits = F.rlike(F.col("_text"), F.lit(r"[0-9]{3}|@|\[at\]|\(at\)|[0-9A-Fa-f]:[0-9A-Fa-f]"))
 
     def candidates() -> Column:
         def token(s: Column) -> Column:
-            value = F.regexp_replace(F.regexp_extract(s["value"], r"(\S+)$", 1), r"[.,;:!?]+$", "")
-            begin = s["end"] - F.length(F.regexp_extract(s["value"], r"(\S+)$", 1))
-            return F.struct(begin.alias("start"), (begin + F.length(value)).alias("end"), value.alias("value"), _cue(F.regexp_extract(s["value"], r"^([\s\S]*?)\S+$", 1)).alias("cue"))
+            value = F.regexp_replace(s["value"], r"(?<![.,;:!?])[.,;:!?]+$", "")
+            return F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).alias("end"), value.alias("value"), _cue(before(s)).alias("cue"))
 
         shaped = lambda s: F.rlike(s["value"], F.lit("|".join(f"(?:{p})" for p in SHAPE.values())))
         free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.filter(F.transform(_located(F.col("_text"), CANDIDATE), token), lambda s: shaped(s) & s["cue"].isNotNull() & free(s))
+        return F.filter(F.transform(_located(F.col("_text"), TOKEN), token), lambda s: shaped(s) & s["cue"].isNotNull() & free(s))
 
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string,cue:string>>)")
     return materialize(based.select("rid", "doc_id", "base", F.filter(F.transform("base", seed), lambda s: s["cue"].isNotNull()).alias("seeds"), F.when(digits, candidates()).otherwise(empty).alias("candidates")), "pii")

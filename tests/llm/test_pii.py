@@ -48,6 +48,13 @@ def test_contexts_find_unseen_identifiers(spark, no_docs):
     assert pii.find(no_docs).count() == 0
 
 
+def test_any_cue_word_may_end_in_a_colon(spark):
+    seeds = [(k, f"Please call office phone: +1 ({k:03d}) 555-{1000 + k} or our contact number: +1 ({k:03d}) 556-{1000 + k}") for k in range(6)]
+    unseen = [(90, "Please call office phone: 555-447-1200 for help"), (91, "Our contact number: 555-447-1201"), (92, "Reach Our contact number: 555-447-1202")]
+    found = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(seeds + unseen, "doc_id long, text string"))).collect()}
+    assert [found[k] for k in (90, 91, 92)] == ["phone:26:38", "phone:20:32", "phone:26:38"]
+
+
 def test_masking(spark, docs, rows, no_docs):
     frame = spark.createDataFrame([(1, "to 9@mail.example.com or +1 (017) 555-7713."), (1, "clean"), (None, None), (2, "1.2.3.4")], "doc_id long, text string")
     assert sorted(str(r.text) for r in pii.mask(frame).collect()) == ["None", "[IP]", "clean", "to [EMAIL] or [PHONE]."]
