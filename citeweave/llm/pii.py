@@ -105,7 +105,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     based = found.select("rid", "doc_id", "_text", F.concat(*[tagged(k, n) for n, k in enumerate(KINDS)]).alias("base"))
     before = lambda s: F.substring(F.col("_text"), F.greatest(s["start"] - 89, F.lit(1)), F.least(s["start"], F.lit(90)))
     seed = lambda s: F.struct(s["rank"].alias("rank"), _digits_or_lower(s).alias("value"), _cue(before(s)).alias("cue"))
-    digits = F.rlike(F.col("_text"), F.lit(r"[0-9]{3}|@|\[at\]|\(at\)|[0-9A-Fa-f]:[0-9A-Fa-f]"))
+    hinted = F.rlike(F.col("_text"), F.lit(r"[0-9:@]|\[at\]|\(at\)"))  # every token holds one of these
 
     def candidates() -> Column:
         def token(s: Column) -> Column:
@@ -117,7 +117,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.filter(F.transform(_located(F.col("_text"), TOKEN), token), lambda s: shaped(s) & s["cue"].isNotNull() & free(s))
 
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string,cue:string>>)")
-    return materialize(based.select("rid", "doc_id", "base", F.filter(F.transform("base", seed), lambda s: s["cue"].isNotNull()).alias("seeds"), F.when(digits, candidates()).otherwise(empty).alias("candidates")), "pii")
+    return materialize(based.select("rid", "doc_id", "base", F.filter(F.transform("base", seed), lambda s: s["cue"].isNotNull()).alias("seeds"), F.when(hinted, candidates()).otherwise(empty).alias("candidates")), "pii")
 
 
 def _digits_or_lower(s: Column) -> Column:

@@ -55,6 +55,13 @@ def test_any_cue_word_may_end_in_a_colon(spark):
     assert [found[k] for k in (90, 91, 92)] == ["phone:26:38", "phone:20:32", "phone:26:38"]
 
 
+def test_identifiers_without_three_digits_in_a_row(spark):
+    seeds = [(k, f"Please call office line: +1 ({k:03d}) 555-{1000 + k} for help") for k in range(6)]
+    unseen = [(90, "Please call office line: 06-12-34-56-78 for help"), (91, "Please call office line: 0-6-1-2-3-4-5 for help"), (92, "Please call office line: 06-12-34-56-79 or 2024")]
+    found = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(seeds + unseen, "doc_id long, text string"))).collect()}
+    assert [found[k] for k in (90, 91, 92)] == ["phone:25:39", "phone:25:38", "phone:25:39"]
+
+
 def test_masking(spark, docs, rows, no_docs):
     frame = spark.createDataFrame([(1, "to 9@mail.example.com or +1 (017) 555-7713."), (1, "clean"), (None, None), (2, "1.2.3.4")], "doc_id long, text string")
     assert sorted(str(r.text) for r in pii.mask(frame).collect()) == ["None", "[IP]", "clean", "to [EMAIL] or [PHONE]."]
