@@ -12,6 +12,11 @@ meet in a sorted partition, where a breadth-first walk compares them and emits
 a spanning forest of the links: rows out are linear in rows in, however large
 a group of near copies is. A key with more than ``tile`` fingerprints is cut
 into chunks, and each pair of chunks is a task's work of its own.
+
+No number of blocks holds for the wide fingerprints of the pipeline's stage.
+Its keys are the least shingle hashes of each text: texts that share enough of
+their shingles share one of those. Classes by a wide bound are candidates, in
+which the exact shares of shingles make the links.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.batches import slices
+from citeweave.llm.batches import gather, slices
 from citeweave.operators.components import connected_components
 from citeweave.sources.scratch import materialize
 
@@ -93,9 +98,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE, seed: int = 42) -> tuple[int, ...]:
-    """``words`` unsigned fingerprints over the set of a text's shingles, each from hashes mixed anew; no words: zeros."""
-    hashes = np.unique(shingle_hashes(text, shingle, seed).astype(np.uint64))
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> tuple[int, ...]:
+    """``words`` unsigned fingerprints over a set of shingle hashes, each from hashes mixed anew; no hashes: zeros."""
     if not len(hashes):
         return (0,) * words
     mixed = hashes[:, None] + (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
@@ -106,24 +110,34 @@ def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE, seed
     return tuple(int.from_bytes(bits[k : k + 8], "big") for k in range(0, 8 * words, 8))
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = WIDE) -> DataFrame:
-    """(doc_id, fp, f0.., text_hash): fp identifies the words f0.. together. One row for each row of ``docs``."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text, shingle).astype(np.uint64))
+
+
+def prefix(hashes: np.ndarray, least: float) -> np.ndarray:
+    """The least hashes of a set, of which any set that shares ``least`` of the union with it has one in its own prefix."""
+    return hashes[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]
+
+
+def shingle_prints(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = WIDE) -> DataFrame:
+    """(doc_id, text_hash, fp, f0.., size, prefix): fp names the shingle set, of ``size`` hashes. One row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                known: dict[str | None, tuple[int, ...]] = {}
+                known: dict[str | None, tuple] = {}
                 out = []
                 for text in part.column("text").to_pylist():
                     if text not in known:
-                        known[text] = wide_fingerprint(text, shingle, words)
+                        own = shingle_set(text, shingle)
+                        known[text] = (xxhash.xxh64_intdigest(own.tobytes()), *wide_fingerprint(own, words)), len(own), prefix(own, least).view(np.int64)
                     out.append(known[text])
-                fps = np.array(out, dtype=np.uint64).view(np.int64).reshape(-1, words)
-                yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words)]], names=["doc_id", "text_hash", *_names(words)])
+                fps = np.array([x for x, _, _ in out], dtype=np.uint64).view(np.int64).reshape(-1, words + 1)
+                yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words + 1)], pa.array([n for _, n, _ in out], pa.int64()), pa.array([x for _, _, x in out], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", *_names(words), "size", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    made = rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in _names(words)))
-    return made.select("doc_id", F.xxhash64(*_names(words)).alias("fp"), *_names(words), "text_hash")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, " + ", ".join(f"{c} long" for c in _names(words)) + ", size long, prefix array<long>")
 
 
 def _names(words: int) -> list[str]:
@@ -204,12 +218,14 @@ def _linked_in_runs(max_bits: int, words: int):
     return run
 
 
-def links(distinct: DataFrame, keys: list, words: list[str], max_bits: int, tile: int = 32768) -> DataFrame:
+def links(distinct: DataFrame, keys: list | Column, words: list[str], max_bits: int, tile: int = 32768) -> DataFrame:
     """(src, dst): links that connect the same fingerprints as all pairs that share a key and differ in at most ``max_bits`` do.
 
-    ``distinct`` has fp, which names a fingerprint, and its ``words``, without repeats.
+    ``distinct`` has fp, which names a fingerprint, and its ``words``, without
+    repeats. ``keys``: one expression for each key, or an array of them all.
     """
-    keyed = distinct.select("fp", *[F.col(w).alias(f"_{w}") for w in words], F.explode(F.array(*keys)).alias("k"))
+    keys = keys if isinstance(keys, Column) else F.array(*keys)
+    keyed = distinct.select("fp", *[F.col(w).alias(f"_{w}") for w in words], F.explode(keys).alias("k"))
     names = [f"_{w}" for w in words]
     keyed = keyed.select("fp", *names, "k.combination", "k.block")
     hot = materialize(keyed.groupBy("combination", "block").count().where(F.col("count") > tile), "hot-blocks")
@@ -234,7 +250,12 @@ def classes(prints: DataFrame, keys: list, words: list[str], max_bits: int) -> D
     row = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
     own = list(dict.fromkeys(["fp", *words]))
     least = materialize(prints.groupBy(*own).agg(F.min(row).alias("least")), "fingerprints")
-    linked = connected_components(links(least.select(*own), keys, words, max_bits))
+    return _named(least, links(least.select(*own), keys, words, max_bits))
+
+
+def _named(least: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, leader, component_id) of (fp, least) under links (src, dst)."""
+    linked = connected_components(found)
     root = materialize(least.join(linked, least.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "roots")
     named = root.groupBy("root").agg(F.min("least").alias("leader"))
     return root.select("fp", "root").join(named, "root").select("fp", "leader", F.col("leader.doc_id").alias("component_id"))
@@ -251,22 +272,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 44) -> DataFrame:
+def _exact_forest(node: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs of sets that share ``least`` of their union."""
+    size = np.array([len(x) for x in sets])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, found = np.zeros(len(distinct), np.int64), []
+    rest = np.flatnonzero(size)
+    while len(rest) > 1:
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and len(rest):
+            one = frontier.pop()
+            marked[number[bounds[one] : bounds[one + 1]]] = 1
+            flat, count = gather(number, bounds, rest)
+            both = np.add.reduceat(marked[flat], np.cumsum(count) - count)
+            marked[number[bounds[one] : bounds[one + 1]]] = 0
+            near = both >= least * (size[one] + size[rest] - both) - 1e-9
+            found.extend((node[one], node[x]) for x in rest[near].tolist())
+            frontier.extend(rest[near].tolist())
+            rest = rest[~near]
+    return found
+
+
+def exact_links(texts: DataFrame, least: float, shingle: int = 5, tile: int = 2 << 20) -> DataFrame:
+    """(src, dst): links that connect the same fps as all pairs of one ``component`` that share ``least`` of their shingles.
+
+    ``texts`` has component, fp, size and text; a component of more than
+    ``tile`` shingles is cut into chunks, and pairs of chunks are compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = None, {}
+
+        def flush() -> pa.RecordBatch:
+            ends = np.array(_exact_forest(list(kept), list(kept.values()), least) if len(kept) > 1 else [], dtype=np.int64).reshape(-1, 2)
+            return pa.record_batch([pa.array(np.ascontiguousarray(ends[:, k])) for k in (0, 1)], names=["src", "dst"])
+
+        for batch in batches:
+            for component, part, fp, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if (component, part) != at:
+                    yield flush()
+                    at, kept = (component, part), {}
+                if fp not in kept:
+                    kept[fp] = shingle_set(text, shingle)
+        yield flush()
+
+    total = texts.groupBy("component").agg(F.ceil(F.sum("size") / tile).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    tile_of = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.greatest(F.col("own"), other) * F.col("chunks") + F.least(F.col("own"), other))
+    tiled = texts.join(total, "component").withColumn("own", own).select("component", F.explode(tile_of).alias("tile"), "fp", "text")
+    by = ["component", "tile"]
+    return tiled.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "src long, dst long")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 80, least: float = 0.8) -> DataFrame:
     """The row of ``docs`` that leads each class of near copies: one document of each group stays, with all its columns.
 
-    Near copies share about 0.8 of their five-word shingles. Sixty-four bits
-    can't tell that: copies at 0.8 differ in ten places on average, and a
-    bound that takes them in leaves blocks of a few bits. So fingerprints here
-    have 256 bits, where 0.8 is 39 differing places with a deviation of 6;
-    blocks are 12 bits, of
-    which such a pair shares one of twenty with a chance of 0.95, and the
-    distance over all 256 bits is verified. Exact copies always meet.
+    Near copies share ``least`` of their distinct five-word shingles; classes
+    are the connected components of such pairs. Those of 0.8 differ in 39 of
+    256 bits with a deviation of 6, so a bound of 80 leaves none out that
+    chance would show, and keeps texts with little in common (128, 8) apart.
+    Pairs within it that share a key of their prefixes make candidates; links
+    are the exact shares within them.
 
     The leader has the least id, then the least text hash; of rows that repeat
     both id and text one stays.
     """
-    prints = materialize(wide_fingerprints(docs, id_col, text_col, shingle), "prints")
-    leaders = classes(prints, wide_keys(), _names(WIDE), max_bits).select(F.col("leader.doc_id").alias("_id"), F.col("leader.text_hash").alias("_hash")).distinct()
+    prints = materialize(shingle_prints(docs, least, id_col, text_col, shingle), "prints")
+    row = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
+    alike = [F.first(c).alias(c) for c in (*_names(WIDE), "size", "prefix")]
+    distinct = materialize(prints.groupBy("fp").agg(F.min(row).alias("least"), *alike), "fingerprints")
+    keys = F.transform("prefix", lambda h: F.struct(F.lit(0).alias("combination"), h.alias("block")))
+    groups = connected_components(links(distinct, keys, _names(WIDE), max_bits))
+    members = distinct.join(groups, distinct.fp == groups.node).select("fp", "size", "component", F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_own"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_text_hash"))
+    texts = texts.join(members, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))).select("component", "fp", "size", "text")
+    found = exact_links(materialize(texts, "near-texts"), least, shingle)
+    leaders = _named(distinct, found).select(F.col("leader.doc_id").alias("_id"), F.col("leader.text_hash").alias("_hash")).distinct()
     hashed = docs.withColumn("_text_hash", F.xxhash64(text_col))
     kept = hashed.join(leaders, hashed[id_col].cast("long").eqNullSafe(leaders["_id"]) & (hashed["_text_hash"] == leaders["_hash"]), "left_semi")
     return kept.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

@@ -83,3 +83,30 @@ def test_wide_links_equal_brute_force(spark):
 
     linked = {r.node: r.component for r in connected_components(simhash.links(frame, simhash.wide_keys(), ["f0", "f1", "f2", "f3"], 40, tile=5)).collect()}
     assert [linked.get(k, k) // 12 for k in range(48)] == [k // 12 for k in range(48)]
+
+
+def test_one_of_each_class_of_shared_shingles_stays(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.integers(0, 3000)}" for _ in range(rng.integers(60, 300))]
+        for part in (0, 0.008, 0.014, 0.02, 0.024, 0.03):
+            texts.append(" ".join("x" + w if rng.random() < part else w for w in words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a)}
+    root = list(range(len(sets)))
+    for a, b in (p for p, j in share.items() if j >= 0.8):
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    assert sum(0.8 <= j < 0.85 for j in share.values()) >= 10 <= sum(0.7 <= j < 0.8 for j in share.values())
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(frame).collect()} == set(root)
+
+
+def test_exact_links_in_tiny_tiles(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, k, 56, " ".join(words[:30] + [f"x{k}"] + words[30:])) for k in range(20)] + [(1, 99, 56, " ".join(words[::-1]))]
+    from citeweave.operators.components import connected_components
+
+    found = connected_components(simhash.exact_links(spark.createDataFrame(rows, "component long, fp long, size long, text string"), 0.8, tile=200)).collect()
+    assert {r.node for r in found} == set(range(20)) and len({r.component for r in found}) == 1
