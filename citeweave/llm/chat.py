@@ -2,8 +2,9 @@
 
 A conversation is rendered as turns between control strings, reparsed by the
 one deterministic grammar below, and compared with its source. Only if the two
-differ is the content escaped, and checked again; the last level is proven
-reversible, so every conversation comes back identical.
+differ, or a text holds a control string, is the content escaped, and checked
+again; the last level is proven reversible, so every conversation comes back
+identical.
 
     conversation = turn*
     turn         = "### " role ": " body "</turn>"
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.quality import let
+from citeweave.llm.arrays import let, running
 
 HEAD, MIDDLE, TAIL = "### ", ": ", "</turn>"
 BODY_ESCAPES = (("\\", "\\e"), ("</turn>", "\\t"), ("### ", "\\h"))
@@ -70,15 +71,15 @@ def loss_spans(text: Column) -> Column:
     """(start, length) in code points of every assistant body of a rendered text."""
 
     def spans(cells: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
+        whole = F.slice(cells, F.lit(1), F.greatest(F.size(cells) - 1, F.lit(0)))
+        return let(F.struct(whole.alias("cells"), running(F.transform(whole, lambda c: F.length(c) + len(TAIL)), lambda a, x: a + x, F.lit(0)).alias("ends")), own)
 
-        def step(a: Column, cell: Column) -> Column:
-            head = F.instr(cell, MIDDLE) + len(MIDDLE) - 1
-            own = F.array(F.struct((a["at"] + head).cast("int").alias("start"), (F.length(cell) - head).cast("int").alias("length")))
-            grown = F.when(_unescaped(_role_of(cell)) == "assistant", F.concat(a["spans"], own)).otherwise(a["spans"])
-            return F.struct((a["at"] + F.length(cell) + len(TAIL)).cast("int").alias("at"), grown.alias("spans"))
+    def own(s: Column) -> Column:
+        def span(cell: Column, i: Column) -> Column:
+            size = F.length(cell) - (F.instr(cell, MIDDLE) + len(MIDDLE) - 1)
+            return F.when(_unescaped(_role_of(cell)) == "assistant", F.struct((F.get(s["ends"], i) - len(TAIL) - size).cast("int").alias("start"), size.cast("int").alias("length")))
 
-        return F.aggregate(F.slice(cells, F.lit(1), F.greatest(F.size(cells) - 1, F.lit(0))), start, step, lambda a: a["spans"])
+        return F.filter(F.transform(s["cells"], span), lambda x: x.isNotNull())
 
     return let(_cells(text), spans)
 
@@ -97,8 +98,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     own = grouped.select("conv_id", turns.alias("turns"))
     plain = let(render(F.col("turns"), 0), lambda t: F.struct(t.alias("t"), parse(t).alias("p")))
     checked = own.withColumn("_plain", plain)
-    level = F.when(F.col("_plain.p") == F.col("turns"), F.lit(0)).otherwise(F.lit(1))
-    formatted = F.when(F.col("_plain.p") == F.col("turns"), F.col("_plain.t")).otherwise(render(F.col("turns"), 1))
+    clean = ~F.exists("turns", lambda x: F.contains(x["text"], F.lit(HEAD)) | F.contains(x["text"], F.lit(TAIL))) & (F.col("_plain.p") == F.col("turns"))
+    level = F.when(clean, F.lit(0)).otherwise(F.lit(1))
+    formatted = F.when(clean, F.col("_plain.t")).otherwise(render(F.col("turns"), 1))
     return checked.select("conv_id", "turns", formatted.alias("formatted"), level.alias("level"))
 
 

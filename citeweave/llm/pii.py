@@ -1,12 +1,14 @@
 """Personal data by fixed patterns and bootstrapped context. DataFrame functions only.
 
-Base spans come from one pattern for each kind. They are the seeds: the two
-words before a seed make a lexical pattern of its kind. Candidates are tokens
-of a kind's loose shape that no base span covers. Patterns and instances form
-a bipartite graph that Spark scores in rounds: a pattern is as good as the
-instances it introduces, an unseen instance as good as the patterns that
-introduce it, in the way of repeated noisy-or. Instances of patterns with
-enough distinct seeds and a high score become spans.
+Base spans come from one pattern for each kind. They are the seeds. The words
+around a mention make lexical patterns of three forms: two words before, a
+word on either side, two words after. Candidates are tokens of a kind's loose
+shape that no base span covers. Patterns and instances form a bipartite graph
+that Spark scores in rounds: a pattern is as good as the share of its instances
+that are good, an unseen instance as good as the patterns around it, in the way
+of repeated noisy-or. An instance found good in one round supports further
+patterns in the next, which may find others that no seed's words surround.
+Occurrences of good instances between the words of good patterns become spans.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.quality import let
-from citeweave.sources.scratch import materialize
+from citeweave.llm.arrays import let, located, running, salted
+from citeweave.sources.scratch import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns in words of java.util.regex. Possessive
@@ -28,34 +30,22 @@ BASE = {
 }
 #: What a text must hold for the pattern to be tried on it.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Loose shapes of unseen instances.
+#: Loose shapes of unseen instances, one token each: spelt-out addresses, IPv6, 12 to 19 digits (the most a card
+#: number has), 7 to 15 digits (the most a telephone number has).
 SHAPE = {
     "email": r"^[A-Za-z0-9._%+-]+(?:@|\[at\]|\(at\))[A-Za-z0-9.\[\]()-]+$",
     "ip": r"^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}$",
-    "card": r"^[0-9]{4}[0-9-]{9,19}[0-9]$",
-    "phone": r"^[(]?[0-9][0-9().-]{5,16}[0-9]$",
+    "card": r"^[0-9](?:-?[0-9]){11,18}$",
+    "phone": r"^[(]?[0-9](?:[().-]*+[0-9]){6,14}$",
 }
-#: A token of six characters or more that may have one of the shapes; no shape asks for less than the look-ahead.
-TOKEN = r"(?<!\S)(?=[(]?[0-9]|[0-9A-Fa-f]{0,4}:|[A-Za-z0-9._%+-]++(?:@|\[at\]|\(at\)))\S{6,}+"
-SPAN = "array<struct<start:int,end:int,value:string>>"
-
-
-def _located(text: Column, pattern: str) -> Column:
-    """(start, end, value) of the matches of ``pattern``, leftmost and non-overlapping, in code points."""
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-
-    def place(b: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
-
-        def step(a: Column, x: Column) -> Column:
-            begin = a["at"] + F.length(x["gap"])
-            end = begin + F.length(x["value"])
-            return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
-
-        pairs = F.zip_with(F.slice(b["gaps"], F.lit(1), F.size(b["found"])), b["found"], lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-        return F.aggregate(pairs, start, step, lambda a: a["spans"])
-
-    return let(both, place)
+#: A token that may have one of the shapes; no shape asks for less than the look-ahead.
+TOKEN = r"(?<!\S)(?=[(]?[0-9]|[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:|[A-Za-z0-9._%+-]++(?:@|\[at\]|\(at\)))\S++"
+MENTION = "struct<rank:int,start:int,end:int,value:string,around:array<string>>"
+NONE = f"cast(array() as array<{MENTION}>)"
+#: A word of a pattern: no digit, no @, of any length; words of a pattern are parted by spaces of one line.
+_WORD = r"[^\s0-9@]++"
+#: An instance of at least this score counts as found.
+GOOD = 0.7
 
 
 def _digits(value: Column) -> Column:
@@ -85,83 +75,132 @@ def _valid(kind: str, value: Column) -> Column:
 def base_spans(text: Column, kind: str) -> Column:
     """Base spans of one kind; a match that fails its test is dropped without a retry."""
     hit = F.contains(text, F.lit("@")) if kind == "email" else F.rlike(text, F.lit(HINT[kind]))
-    return F.when(hit, F.filter(_located(text, BASE[kind]), lambda s: _valid(kind, s["value"]))).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    rank = F.lit(KINDS.index(kind))
+    mention = lambda s: F.struct(rank.alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), around(s["gap"], s["next"]).alias("around"))
+    return F.when(hit, F.transform(F.filter(located(text, BASE[kind]), lambda s: _valid(kind, s["value"])), mention)).otherwise(F.expr(NONE))
 
 
-def _cue(left: Column) -> Column:
-    """The last two words of what stands before, lower-cased, within the line; null if there are fewer."""
-    return F.nullif(F.lower(F.regexp_extract(left, r"(?:^|\s)([^\s0-9@]{1,40}[\x20]+[^\s0-9@]{1,40})[\x20]*$", 1)), F.lit(""))
+def around(left: Column, right: Column) -> Column:
+    """The patterns of a mention between two stretches of text, lower-cased; those that lack a word are left out."""
+    two = F.regexp_extract(left, rf"(?:^|(?<=\s))({_WORD}[\x20]++{_WORD})[\x20]*+$", 1)
+    one = F.regexp_extract(left, rf"(?:^|(?<=\s))({_WORD})[\x20]*+$", 1)
+    next_one = F.regexp_extract(right, rf"^[.,;:!?)]*+[\x20]++({_WORD})(?=\s|$)", 1)
+    next_two = F.regexp_extract(right, rf"^[.,;:!?)]*+[\x20]++({_WORD}[\x20]++{_WORD})(?=\s|$)", 1)
+    forms = (F.when(two != "", F.concat(F.lit("b|"), two)), F.when((one != "") & (next_one != ""), F.concat_ws("|", F.lit("m"), one, next_one)), F.when(next_two != "", F.concat(F.lit("a|"), next_two)))
+    return F.transform(F.array_compact(F.array(*forms)), lambda x: F.regexp_replace(F.lower(x), r"\x20+", " "))
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, base, seeds, candidates), written once: rid numbers the rows.
+def _identity(rank: Column, value: Column) -> Column:
+    """What two mentions of one instance share: digits, or for addresses the lower-cased text with a plain @."""
+    return F.when(rank.isin(0, 1), F.lower(F.regexp_replace(value, r"\[at\]|\(at\)", "@"))).otherwise(_digits(value))
 
-    base: spans with kinds; seeds: (kind, value, cue); candidates: (start, end, value, cue) outside all base spans.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"))
-    found = rows.select("*", *[base_spans(F.col("_text"), k).alias(f"_{k}") for k in KINDS])
-    tagged = lambda k, n: F.transform(f"_{k}", lambda s: F.struct(F.lit(n).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    based = found.select("rid", "doc_id", "_text", F.concat(*[tagged(k, n) for n, k in enumerate(KINDS)]).alias("base"))
-    before = lambda s: F.substring(F.col("_text"), F.greatest(s["start"] - 89, F.lit(1)), F.least(s["start"], F.lit(90)))
-    seed = lambda s: F.struct(s["rank"].alias("rank"), _digits_or_lower(s).alias("value"), _cue(before(s)).alias("cue"))
-    hinted = F.rlike(F.col("_text"), F.lit(r"[0-9:@]|\[at\]|\(at\)"))  # every token holds one of these
 
-    def candidates() -> Column:
-        def token(s: Column) -> Column:
-            value = F.regexp_replace(s["value"], r"(?<![.,;:!?])[.,;:!?]+$", "")
-            return F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).alias("end"), value.alias("value"), _cue(before(s)).alias("cue"))
+def _free(mentions: Column, base: Column) -> Column:
+    """The mentions that no base span overlaps."""
+    item = lambda s, taken: F.struct(s["start"].alias("start"), taken.alias("taken"), s["end"].alias("end"), s.alias("s"))
+    both = F.array_sort(F.concat(F.transform(base, lambda s: item(s, F.lit(0))), F.transform(mentions, lambda s: item(s, F.lit(1)))))
+
+    def kept(x: Column) -> Column:
+        # the furthest end of base spans that start before, and the nearest start of those that start after
+        reach = running(F.transform(x, lambda i: F.when(i["taken"] == 0, i["end"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b), F.lit(0))
+        ahead = F.reverse(running(F.transform(F.reverse(x), lambda i: F.when(i["taken"] == 0, i["start"]).otherwise(F.lit(2147483647))), lambda a, b: F.least(a, b), F.lit(2147483647)))
+        marked = let(F.struct(x.alias("x"), reach.alias("reach"), ahead.alias("ahead")), lambda s: F.transform(s["x"], lambda i, k: F.when((i["taken"] == 1) & (F.get(s["reach"], k) <= i["start"]) & (F.get(s["ahead"], k) >= i["end"]), i["s"])))
+        return F.array_compact(marked)
+
+    return F.when((F.size(mentions) == 0) | (F.size(base) == 0), mentions).otherwise(let(both, kept))
+
+
+def _candidates(text: Column, base: Column) -> Column:
+    def token(s: Column) -> Column:
+        value = F.regexp_replace(s["value"], r"(?<![.,;:!?])[.,;:!?]+$", "")
+        rest = F.concat(F.substring(s["value"], F.length(value) + 1, F.length(s["value"])), s["next"])
+        return F.struct(F.lit(-1).alias("rank"), s["start"].alias("start"), (s["start"] + F.length(value)).alias("end"), value.alias("value"), around(s["gap"], rest).alias("around"))
+
+    shaped = lambda s: F.rlike(s["value"], F.lit("|".join(f"(?:{p})" for p in SHAPE.values())))
+    found = F.filter(F.transform(located(text, TOKEN), token), lambda s: shaped(s) & (F.size(s["around"]) > 0))
+    hinted = F.rlike(text, F.lit(r"[0-9@]|\[at\]|\(at\)|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|::"))  # every token holds one of these
+    return F.when(hinted, let(found, lambda m: _free(m, base))).otherwise(F.expr(NONE))
+
 
-        shaped = lambda s: F.rlike(s["value"], F.lit("|".join(f"(?:{p})" for p in SHAPE.values())))
-        free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.filter(F.transform(_located(F.col("_text"), TOKEN), token), lambda s: shaped(s) & s["cue"].isNotNull() & free(s))
+def extract(rows: DataFrame) -> DataFrame:
+    """(rid, doc_id, base, candidates) of rows(rid, doc_id, text), written once: mentions by kind and start; a null text has none."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    based = rows.select("rid", "doc_id", text.alias("_text")).withColumn("base", F.concat(*[base_spans(F.col("_text"), k) for k in KINDS]))
+    return materialize(based.select("rid", "doc_id", "base", _candidates(F.col("_text"), F.col("base")).alias("candidates")), "pii")
 
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string,cue:string>>)")
-    return materialize(based.select("rid", "doc_id", "base", F.filter(F.transform("base", seed), lambda s: s["cue"].isNotNull()).alias("seeds"), F.when(hinted, candidates()).otherwise(empty).alias("candidates")), "pii")
 
+def _ranks(value: Column) -> Column:
+    """The kinds whose loose shape a value has."""
+    return F.array_compact(F.array(*[F.when(F.rlike(value, F.lit(SHAPE[k])), F.lit(n)) for n, k in enumerate(KINDS)]))
 
-def _digits_or_lower(s: Column) -> Column:
-    """An instance's identity: its digits, or for addresses its lower-cased text."""
-    return F.when(s["rank"].isin(0, 1), F.lower(s["value"])).otherwise(_digits(s["value"]))
 
+def _loose(extracted: DataFrame) -> DataFrame:
+    """(rid, start, end, text, rank, pattern, value): every candidate in every kind it may be and every pattern around it."""
+    each = extracted.where(F.size("candidates") > 0).select("rid", F.explode("candidates").alias("c"))
+    kinds = each.select("rid", "c", F.explode(_ranks(F.col("c.value"))).alias("rank"))
+    return kinds.select("rid", "c.start", "c.end", F.col("c.value").alias("text"), "rank", F.explode("c.around").alias("pattern"), _identity(F.col("rank"), F.col("c.value")).alias("value"))
 
-def score_patterns(extracted: DataFrame, rounds: int = 3, support: int = 3, prior: float = 0.05) -> DataFrame:
-    """(rank, cue, value, pattern_score, instance_score): the graph's edges to unseen instances after ``rounds``.
 
-    An edge is a pattern (kind, cue) and a distinct instance, counted once
-    however many documents copy it. Patterns need ``support`` distinct seeds.
+def score_patterns(extracted: DataFrame, rounds: int = 6, support: int = 3, prior: float = 0.05, good: float = GOOD) -> DataFrame:
+    """(rank, pattern, value, pattern_score, instance_score): the graph's edges to unseen instances after ``rounds``.
+
+    An edge is a pattern and a distinct instance of one kind, counted once
+    however many documents copy it. Seeds score 1, others begin at ``prior``.
+    In each round a pattern scores the sum of its instances' scores over their
+    number plus one, or 0 until ``support`` of them score ``good``; an unseen
+    instance scores one minus the product of what its patterns lack to one, at
+    least ``prior``. Patterns with fewer than ``support`` instances never score.
     """
-    seeds = extracted.select(F.explode("seeds").alias("s")).select("s.rank", "s.cue", "s.value").distinct().withColumn("seed", F.lit(1.0))
-    known = seeds.groupBy("rank", "cue").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("rank", "cue")
-    shapes = F.array(*[F.when(F.rlike(F.col("c.value"), F.lit(SHAPE[k])), F.lit(n)) for n, k in enumerate(KINDS)])
-    loose = extracted.select(F.explode("candidates").alias("c")).select(F.explode(F.filter(shapes, lambda r: r.isNotNull())).alias("rank"), F.col("c.cue").alias("cue"), F.lower("c.value").alias("value")).distinct()
-    every = seeds.unionByName(loose.withColumn("seed", F.lit(0.0))).join(known, ["rank", "cue"], "left_semi")
-    edges = materialize(every, "pii-edges")
+    seeds = extracted.where(F.size("base") > 0).select(F.explode("base").alias("s")).select("s.rank", F.explode("s.around").alias("pattern"), _identity(F.col("s.rank"), F.col("s.value")).alias("value"), F.lit(1.0).alias("seed"))
+    loose = _loose(extracted).select("rank", "pattern", "value", F.lit(0.0).alias("seed"))
+    every = materialize(seeds.unionByName(loose).groupBy("rank", "pattern", "value").agg(F.max("seed").alias("seed")), "pii-all")
+    able = every.groupBy("rank", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("rank", "pattern")
+    edges = materialize(salted(every, able, ["rank", "pattern"], ["value"], "left_semi"), "pii-edges")
+    discard(every)
     scored = edges.withColumn("instance_score", F.greatest("seed", F.lit(prior)))
+    if edges.where("seed = 0").isEmpty():
+        return scored.where("seed = 0").select("rank", "pattern", "value", F.lit(0.0).alias("pattern_score"), "instance_score")
+    # a seed may be known from another pattern only
+    known = edges.groupBy("rank", "value").agg(F.max("seed").alias("is_seed"))
+    edges = materialize(salted(edges, known.select("rank", "value", "is_seed"), ["rank", "value"], ["pattern"]).select("rank", "pattern", "value", "is_seed"), "pii-graph")
+    scored = edges.withColumn("instance_score", F.greatest("is_seed", F.lit(prior)))
     for _ in range(rounds):
-        patterns = scored.groupBy("rank", "cue").agg((F.sum("instance_score") / (F.count(F.lit(1)) + 1)).alias("pattern_score"))
-        joined = edges.join(patterns, ["rank", "cue"])
-        instances = joined.groupBy("rank", "value").agg(F.max("seed").alias("is_seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("pattern_score"), F.lit(1e-9)))))).alias("reached"))
-        scored = joined.join(instances.select("rank", "value", F.when(F.col("is_seed") == 1, F.lit(1.0)).otherwise(F.col("reached")).alias("instance_score")), ["rank", "value"])
-        scored = materialize(scored.select("rank", "cue", "value", "seed", "pattern_score", "instance_score"), "pii-scores")
-    return scored.where("seed = 0").select("rank", "cue", "value", "pattern_score", "instance_score")
+        found = F.sum("instance_score") / (F.count(F.lit(1)) + 1)
+        patterns = scored.groupBy("rank", "pattern").agg(F.when(F.count(F.when(F.col("instance_score") >= good, 1)) >= support, found).otherwise(0.0).alias("pattern_score"))
+        joined = salted(edges, patterns, ["rank", "pattern"], ["value"])
+        reached = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("pattern_score"), F.lit(1e-9)))))
+        instances = joined.groupBy("rank", "value").agg(F.when(F.max("is_seed") == 1, F.lit(1.0)).otherwise(F.greatest(reached, F.lit(prior))).alias("instance_score"))
+        after = materialize(salted(joined, instances, ["rank", "value"], ["pattern"]).select("rank", "pattern", "value", "is_seed", "pattern_score", "instance_score"), "pii-scores")
+        discard(scored)
+        scored = after
+    return scored.where("is_seed = 0").select("rank", "pattern", "value", "pattern_score", "instance_score")
+
+
+def discover(extracted: DataFrame, least_pattern: float = GOOD, least_instance: float = GOOD, **how) -> DataFrame:
+    """(rid, found): spans (rank, start, end, value) of candidates that are good instances amid good patterns; no row without any."""
+    scores = score_patterns(extracted, **how).where((F.col("pattern_score") >= least_pattern) & (F.col("instance_score") >= least_instance))
+    chosen = materialize(scores.select("rank", "pattern", "value", "instance_score"), "pii-found")
+    hits = salted(_loose(extracted), chosen, ["rank", "pattern", "value"], ["rid", "start"])
+    best = hits.groupBy("rid", "start", "end", "text").agg(F.max_by("rank", F.struct("instance_score", -F.col("rank"))).alias("rank"))
+    return materialize(best.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("rank", "start", "end", F.col("text").alias("value")))).alias("found")), "pii-spans")
 
 
-def discover(extracted: DataFrame, least_pattern: float = 0.7, least_instance: float = 0.7) -> DataFrame:
-    """(rid, found): spans (rank, start, end, value) of candidates that good patterns introduce."""
-    good = score_patterns(extracted).where((F.col("pattern_score") >= least_pattern) & (F.col("instance_score") >= least_instance))
-    good = materialize(good.groupBy("cue", "value").agg(F.max_by("rank", F.struct("instance_score", -F.col("rank"))).alias("rank")), "pii-found")
-    spread = extracted.select("rid", F.explode("candidates").alias("c")).select("rid", "c.start", "c.end", F.col("c.value").alias("text"), F.col("c.cue").alias("cue"), F.lower("c.value").alias("value"))
-    hits = spread.join(good, ["cue", "value"])
-    return hits.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("rank", "start", "end", F.col("text").alias("value")))).alias("found"))
+_SPANS = "cast(array() as array<struct<rank:int,start:int,end:int,value:string>>)"
+
+
+def _plain(mentions: str) -> Column:
+    return F.transform(mentions, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, base, spans): base spans and all spans, by kind and start. One row for each row of ``docs``."""
-    extracted = extract(docs, id_col, text_col)
-    found = discover(extracted)
-    whole = F.sort_array(F.concat("base", F.coalesce("found", F.expr("cast(array() as array<struct<rank:int,start:int,end:int,value:string>>)"))))
-    return extracted.select("rid", "doc_id", "base").join(found, "rid", "left").select("rid", "doc_id", F.sort_array("base").alias("base"), whole.alias("spans"))
+    """(rid, doc_id, base, spans): base spans and all spans, by kind and start. One row for each row of ``docs``.
+
+    Null and empty texts have no spans; repeated rows each have their own; an
+    empty table gives no rows; other columns are not read.
+    """
+    extracted = extract(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    joined = extracted.select("rid", "doc_id", _plain("base").alias("base")).join(discover(extracted), "rid", "left")
+    return joined.select("rid", "doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", F.coalesce("found", F.expr(_SPANS)))).alias("spans"))
 
 
 def listing(spans: str) -> Column:
@@ -171,28 +210,40 @@ def listing(spans: str) -> Column:
 
 
 def digests(found: DataFrame) -> DataFrame:
+    """Contract columns of the result of ``find``."""
     count = lambda n, k: F.size(F.filter("base", lambda s: s["rank"] == n)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(n, k) for n, k in enumerate(KINDS)], F.sha2(listing("base").cast("binary"), 256).alias("base_sha256"), listing("spans").alias("spans"))
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """``text`` with each span as its kind in brackets; overlapping spans are one, of the first's kind."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
+
+    def cut(x: Column) -> Column:
+        return let(F.struct(x.alias("x"), running(F.transform(x, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0)).alias("reach")), joined)
+
+    def joined(b: Column) -> Column:
+        done = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(b["reach"], i - 1))
+        part = lambda s, i: F.when(s["start"] >= done(i), F.concat(F.substring(text, done(i) + 1, s["start"] - done(i)), F.get(names, s["rank"]))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.transform(b["x"], part), ""), F.substring(text, F.element_at(b["reach"], -1) + 1, F.length(text)))
+
+    return let(by_start, cut)
+
+
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span in its text replaced by its kind in brackets; overlapping spans are one, of the first's kind.
 
-    A null text stays null; the other columns and their order stay.
+    A null text stays null; the other columns and their order stay; an empty
+    table gives no rows. Spans depend on the text alone, so the few that are
+    discovered come back by two 64-bit hashes of the text; base spans are found
+    again in place, and texts move only if the table of discovered spans is large.
     """
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_rid"), *docs.columns), "pii-docs")
-    extracted = extract(numbered.withColumn("_own", F.col("_rid")), "_own", text_col)
-    found = discover(extracted)
-    spans = extracted.join(found, "rid", "left").select(F.col("doc_id").alias("_own"), F.concat("base", F.coalesce("found", F.expr("cast(array() as array<struct<rank:int,start:int,end:int,value:string>>)"))).alias("_spans")).where(F.size("_spans") > 0)
-    by_start = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
-    names, text = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["rank"])))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["parts"]).alias("parts"))
-
-    cut = F.aggregate(by_start, start, step, lambda a: F.array_join(F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), ""))
-    joined = numbered.join(spans, numbered["_rid"] == spans["_own"], "left")
-    masked = F.when(F.col("_spans").isNull(), text).otherwise(cut)
-    return joined.select(*[masked.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    text = F.col(text_col)
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(11)).alias("b"))
+    found = discover(extract(docs.select(key.alias("rid"), F.lit(None).cast("long").alias("doc_id"), text.alias("text"))))
+    own = docs.withColumn("_key", key).join(found.withColumnsRenamed({"rid": "_rid", "found": "_found"}), F.col("_key") == F.col("_rid"), "left")
+    base = F.concat(*[F.transform(base_spans(text, k), lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))) for k in KINDS])
+    spanned = own.withColumn("_spans", F.when(text.isNotNull(), F.concat(base, F.coalesce("_found", F.expr(_SPANS)))))
+    masked = F.when(F.size("_spans") > 0, replaced(text, F.col("_spans"))).otherwise(text)
+    return spanned.select(*[masked.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.arrays import let
+
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -48,11 +50,6 @@ def mask(names: tuple[str, ...]) -> int:
     return sum(1 << k for k, r in enumerate(RULES) if r.name in names)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, also inside the lambdas of ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _repeat_words(words: Column, window: int = 3) -> Column:
     """Words in windows of three that occur twice or more in the text, the first time included.
 

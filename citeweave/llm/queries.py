@@ -102,7 +102,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 O
 OP7 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-v AS (SELECT conv_id, max((contains(t, '</turn>') OR regexp_matches(t, '\\[ethcl]'))::INT) AS level FROM c GROUP BY 1),
+v AS (SELECT conv_id, max((contains(t, '</turn>') OR contains(t, '### ') OR regexp_matches(t, '\\[ethcl]'))::INT) AS level FROM c GROUP BY 1),
 s AS (SELECT c.*, level, CASE WHEN level = 0 THEN t ELSE replace(replace(replace(t, '\', '\e'), '</turn>', '\t'), '### ', '\h') END AS body FROM c JOIN v ON c.conv_id IS NOT DISTINCT FROM v.conv_id)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
   length(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_chars,
