@@ -42,7 +42,8 @@ SHAPE = {
 TOKEN = r"(?<!\S)(?=[(]?[0-9]|[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:|[A-Za-z0-9._%+-]++(?:@|\[at\]|\(at\)))\S++"
 MENTION = "struct<rank:int,start:int,end:int,value:string,around:array<string>>"
 NONE = f"cast(array() as array<{MENTION}>)"
-#: A word of a pattern: no digit, no @, of any length; words of a pattern are parted by spaces of one line.
+#: A word of a pattern: no digit, no @, of any length. Words of a pattern are parted by one space; spaces before
+#: the mention and punctuation right behind it do not count.
 _WORD = r"[^\s0-9@]++"
 #: An instance of at least this score counts as found.
 GOOD = 0.7
@@ -81,13 +82,18 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def around(left: Column, right: Column) -> Column:
-    """The patterns of a mention between two stretches of text, lower-cased; those that lack a word are left out."""
-    two = F.regexp_extract(left, rf"(?:^|(?<=\s))({_WORD}[\x20]++{_WORD})[\x20]*+$", 1)
-    one = F.regexp_extract(left, rf"(?:^|(?<=\s))({_WORD})[\x20]*+$", 1)
-    next_one = F.regexp_extract(right, rf"^[.,;:!?)]*+[\x20]++({_WORD})(?=\s|$)", 1)
-    next_two = F.regexp_extract(right, rf"^[.,;:!?)]*+[\x20]++({_WORD}[\x20]++{_WORD})(?=\s|$)", 1)
+    """The patterns of a mention between two stretches of text, lower-cased; those that lack a word are left out.
+
+    Only the nearest pieces between spaces are looked at, so long stretches cost little.
+    """
+    near = F.substring_index(F.rtrim(left), " ", -2)
+    two = F.regexp_extract(near, rf"(?:^|(?<=\s))({_WORD}\x20{_WORD})$", 1)
+    one = F.regexp_extract(near, rf"(?:^|(?<=\s))({_WORD})$", 1)
+    after = F.regexp_replace(F.substring_index(right, " ", 4), r"^[.,;:!?)]*+(?=\x20)", "")
+    next_one = F.regexp_extract(after, rf"^\x20({_WORD})(?=\s|$)", 1)
+    next_two = F.regexp_extract(after, rf"^\x20({_WORD}\x20{_WORD})(?=\s|$)", 1)
     forms = (F.when(two != "", F.concat(F.lit("b|"), two)), F.when((one != "") & (next_one != ""), F.concat_ws("|", F.lit("m"), one, next_one)), F.when(next_two != "", F.concat(F.lit("a|"), next_two)))
-    return F.transform(F.array_compact(F.array(*forms)), lambda x: F.regexp_replace(F.lower(x), r"\x20+", " "))
+    return F.transform(F.array_compact(F.array(*forms)), lambda x: F.lower(x))
 
 
 def _identity(rank: Column, value: Column) -> Column:
@@ -118,15 +124,22 @@ def _candidates(text: Column, base: Column) -> Column:
 
     shaped = lambda s: F.rlike(s["value"], F.lit("|".join(f"(?:{p})" for p in SHAPE.values())))
     found = F.filter(F.transform(located(text, TOKEN), token), lambda s: shaped(s) & (F.size(s["around"]) > 0))
-    hinted = F.rlike(text, F.lit(r"[0-9@]|\[at\]|\(at\)|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:|::"))  # every token holds one of these
-    return F.when(hinted, let(found, lambda m: _free(m, base))).otherwise(F.expr(NONE))
+    return let(found, lambda m: _free(m, base))
+
+
+def may_hold(text: Column) -> Column:
+    """False only for texts without any mention: every base span and every token of a shape holds one of these."""
+    holds = lambda part: F.contains(text, F.lit(part))
+    return holds("@") | holds("[at]") | holds("(at)") | F.rlike(text, F.lit("[0-9]")) | (holds(":") & F.rlike(text, F.lit("[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:")))
 
 
 def extract(rows: DataFrame) -> DataFrame:
     """(rid, doc_id, base, candidates) of rows(rid, doc_id, text), written once: mentions by kind and start; a null text has none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    based = rows.select("rid", "doc_id", text.alias("_text")).withColumn("base", F.concat(*[base_spans(F.col("_text"), k) for k in KINDS]))
-    return materialize(based.select("rid", "doc_id", "base", _candidates(F.col("_text"), F.col("base")).alias("candidates")), "pii")
+    marked = rows.select("rid", "doc_id", text.alias("_text"), may_hold(text).alias("_may"))
+    based = marked.withColumn("base", F.when(F.col("_may"), F.concat(*[base_spans(F.col("_text"), k) for k in KINDS])).otherwise(F.expr(NONE)))
+    candidates = F.when(F.col("_may"), _candidates(F.col("_text"), F.col("base"))).otherwise(F.expr(NONE))
+    return materialize(based.select("rid", "doc_id", "base", candidates.alias("candidates")), "pii")
 
 
 def _ranks(value: Column) -> Column:
@@ -244,6 +257,6 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = discover(extract(docs.select(key.alias("rid"), F.lit(None).cast("long").alias("doc_id"), text.alias("text"))))
     own = docs.withColumn("_key", key).join(found.withColumnsRenamed({"rid": "_rid", "found": "_found"}), F.col("_key") == F.col("_rid"), "left")
     base = F.concat(*[F.transform(base_spans(text, k), lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))) for k in KINDS])
-    spanned = own.withColumn("_spans", F.when(text.isNotNull(), F.concat(base, F.coalesce("_found", F.expr(_SPANS)))))
+    spanned = own.withColumn("_spans", F.when(may_hold(text), F.concat(base, F.coalesce("_found", F.expr(_SPANS)))))
     masked = F.when(F.size("_spans") > 0, replaced(text, F.col("_spans"))).otherwise(text)
     return spanned.select(*[masked.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -82,11 +82,11 @@ def graph(texts):
 
     def around(text, a, b, left, right):
         before, after = text[left:a], text[b:right]
-        two, one = re.search(rf"(?:^|(?<=\s))({word} +{word}) *$", before), re.search(rf"(?:^|(?<=\s))({word}) *$", before)
-        next_one, next_two = re.match(rf"[.,;:!?)]* +({word})(?=\s|$)", after), re.match(rf"[.,;:!?)]* +({word} +{word})(?=\s|$)", after)
+        two, one = re.search(rf"(?:^|(?<=\s))({word} {word}) *$", before), re.search(rf"(?:^|(?<=\s))({word}) *$", before)
+        next_one, next_two = re.match(rf"[.,;:!?)]* ({word})(?=\s|$)", after), re.match(rf"[.,;:!?)]* ({word} {word})(?=\s|$)", after)
         out = ["b|" + two[1]] if two else []
         out += [f"m|{one[1]}|{next_one[1]}"] if one and next_one else []
-        return [re.sub(" +", " ", x.lower()) for x in out + (["a|" + next_two[1]] if next_two else [])]
+        return [x.lower() for x in out + (["a|" + next_two[1]] if next_two else [])]
 
     for text in texts:
         text = text or ""
