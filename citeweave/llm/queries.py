@@ -72,11 +72,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills a stored ledger, shows that a second run finds nothing left to scan, and joins findings back from the stored rows."""
+    import uuid
+
     from pyspark.sql import functions as F
 
-    from citeweave.llm.secrets import scan_history
+    from citeweave.llm.secrets import address, findings, read_ledger, update_ledger
+    from citeweave.sources.scratch import scratch_dir
 
-    found, _ = scan_history(table(spark, sf_dir, "documents"), path_col="doc_id")
+    docs, path = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/secrets-ledger-{uuid.uuid4().hex}"
+    update_ledger(docs, path, "doc_id")
+    again = update_ledger(docs, path, "doc_id")
+    if again:
+        raise RuntimeError(f"a second run scanned {again} blobs")
+    found = findings(address(docs, "doc_id"), read_ledger(spark, path))
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "blob")
 
 

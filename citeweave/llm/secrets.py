@@ -12,11 +12,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeweave.llm.arrays import salted
 from citeweave.llm.batches import slices
-from citeweave.sources.scratch import materialize
+from citeweave.sources.scratch import discard, materialize
+
+#: (path, blob) pairs, about 100 bytes each, up to which a table of them is broadcast.
+BROADCAST_PAIRS = 200_000
 
 RULES_VERSION = "2"
 BASE_KINDS = ("assign", "access", "hex")
@@ -60,7 +65,7 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
 
 
 def address(history: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, blob, text) of every version; a null text is the empty blob."""
+    """(path, blob, text) of every version; a null text is the empty blob, a null path a path like any other."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return history.select(F.col(path_col).alias("path"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
 
@@ -68,13 +73,29 @@ def address(history: DataFrame, path_col: str = "path", text_col: str = "text")
 def scan_unseen(addressed: DataFrame, ledger: DataFrame | None = None, rules_version: str = RULES_VERSION) -> DataFrame:
     """New ledger rows: one for each blob that ``ledger`` has not under ``rules_version``.
 
-    One path holding a blob is chosen by the least path, so texts move once
-    and by path: copies of one blob never meet.
+    Which (path, blob) pairs to scan is settled on pairs alone: the least path
+    stands for a blob. Texts then meet either the pairs to scan or the pairs to
+    leave, whichever are few enough to broadcast, and are shuffled only if both
+    are many. Rows that repeat path and blob give one ledger row.
     """
-    firsts = addressed.groupBy("blob").agg(F.min("path").alias("path"))
+    pairs = materialize(addressed.select("path", "blob"), "blob-pairs")
+    firsts = pairs.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         firsts = firsts.join(ledger.where(F.col("rules_version") == rules_version).select("blob").distinct(), "blob", "left_anti")
-
+    todo = materialize(firsts.select(F.col("blob").alias("_blob"), F.col("path").alias("_path")), "blob-todo")
+    same = lambda t: F.col("path").eqNullSafe(t["_path"]) & (F.col("blob") == t["_blob"])
+    standing = todo.select(F.col("_blob").alias("blob"), F.col("_path").alias("path"), F.lit(True).alias("_stands"))
+    others = materialize(salted(pairs, standing, ["blob", "path"], ["path"], "left").where("_stands is null").select(F.col("path").alias("_path"), F.col("blob").alias("_blob")).distinct(), "blob-rest")
+    if todo.count() <= BROADCAST_PAIRS:
+        unseen = addressed.join(F.broadcast(todo), same(todo), "left_semi")
+    elif others.count() <= BROADCAST_PAIRS:
+        unseen = addressed.join(F.broadcast(others), same(others), "left_anti")
+    else:
+        unseen = addressed.join(todo.hint("shuffle_hash"), same(todo), "left_semi")
+    return unseen.select("blob", "text").mapInArrow(_scanned(rules_version), LEDGER_SCHEMA).dropDuplicates(["blob"])
+
+
+def _scanned(rules_version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -85,9 +106,7 @@ def scan_unseen(addressed: DataFrame, ledger: DataFrame | None = None, rules_ver
                     rows.append((blob, rules_version, *(sum(s[1] == k for s in base) for k in BASE_KINDS), _joined(base), _joined(spans)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] * 2 + [pa.int64()] * 3 + [pa.string()] * 2)], names=["blob", "rules_version", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
 
-    renamed = firsts.select(F.col("blob").alias("_blob"), F.col("path").alias("_path"))
-    unseen = addressed.join(renamed.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob")), "left_semi")
-    return unseen.select("blob", "text").mapInArrow(run, LEDGER_SCHEMA)
+    return run
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:
@@ -97,16 +116,45 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
 def findings(addressed: DataFrame, ledger: DataFrame, rules_version: str = RULES_VERSION) -> DataFrame:
     """(path, blob, n_assign, n_access, n_hex, base_spans, spans): every path with its blob's findings, zeros and '' without any.
 
-    Only blobs with findings are joined, so paths that hold a common clean blob do not meet.
+    Only blobs with findings are joined, and the paths of one are dealt to
+    several tasks, so neither a clean nor a leaking common blob gathers its paths.
     """
     hits = ledger.where((F.col("rules_version") == rules_version) & (F.col("spans") != "")).drop("rules_version").dropDuplicates(["blob"])
-    joined = addressed.select("path", "blob").join(hits, "blob", "left")
+    joined = salted(addressed.select("path", "blob"), hits, ["blob"], ["path"], "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex")]
     return joined.select("path", "blob", *counts, F.coalesce("base_spans", F.lit("")).alias("base_spans"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``; empty before its first run."""
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+
+
+def update_ledger(history: DataFrame, ledger_path: str, path_col: str = "path", text_col: str = "text", rules_version: str = RULES_VERSION) -> int:
+    """Scans what the stored ledger has not, appends the new rows to it, and returns how many they are.
+
+    A run that dies before its commit leaves the ledger as it was; the next one
+    scans the same blobs again.
+    """
+    new = materialize(scan_unseen(address(history, path_col, text_col), read_ledger(history.sparkSession, ledger_path), rules_version), "blob-new")
+    n = new.count()
+    if n:
+        new.write.mode("append").parquet(ledger_path)
+    discard(new)
+    return n
+
+
 def scan_history(history: DataFrame, path_col: str = "path", text_col: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings of every version, the ledger with the new rows)."""
+    """(findings of every version, the ledger with the new rows), of ``ledger`` as a table; update_ledger keeps one in storage.
+
+    Null and empty texts share the empty blob; repeated versions each have a
+    row of findings; an empty history has none; other columns are not read.
+    """
     addressed = address(history, path_col, text_col)
     new = materialize(scan_unseen(addressed, ledger), "blob-ledger")
     whole = new if ledger is None else ledger.unionByName(new)

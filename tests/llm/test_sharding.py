@@ -44,3 +44,30 @@ def test_shards_follow_target_bytes_and_odd_numbers(spark):
     found = S.shard(frame, target_bytes=total // 5 + 1).collect()
     sizes = [sum(r.size for r in found if r.shard == k) for k in range(5)]
     assert min(sizes) > 0.9 * total / 5
+
+
+def test_cuts_equal_weighted_medians_by_brute_force(spark):
+    """Two shards of distinct keys: the cut is at the row that the sorted weights put it."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, "x" * (1 + k * 37 % 91)) for k in range(501)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.shard for r in S.shard(frame, 2, {"id": F.col("doc_id") / 1000.0}).collect()}
+    total, before, best = sum(len(t) + 1 for _, t in rows), 0, []
+    for k, t in rows:
+        best.append((abs(before - total / 2), k))
+        before += len(t) + 1
+    cut = min(best)[1]
+    assert found == {k: int(k >= cut) for k, _ in rows}
+
+
+def test_the_widest_dimension_in_its_own_unit_is_cut(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"{k:04d}", k % 2) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kind int")
+    found = S.shard(frame, 4, {"big": F.col("doc_id") / 500.0, "small": F.col("kind") / 1e6}).collect()
+    kinds = {}
+    for r in found:
+        kinds.setdefault(r.shard, set()).add(r.doc_id % 2)
+    assert all(len(k) == 1 for k in kinds.values()) and len(kinds) == 4

@@ -6,6 +6,14 @@ import xxhash
 from citeweave.llm import simhash
 
 
+def wide_keys(words=4, width=12):
+    """Keys of single blocks of every word of a wide fingerprint."""
+    from pyspark.sql import functions as F
+
+    per = 64 // width
+    return [F.struct(F.lit(w * per + j).alias("combination"), F.expr(f"shiftrightunsigned(f{w}, {j * width}) & {(1 << width) - 1}L").alias("block")) for w in range(words) for j in range(per)]
+
+
 def brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
@@ -81,7 +89,7 @@ def test_wide_links_equal_brute_force(spark):
     frame = spark.createDataFrame([(k, *map(int, p)) for k, p in enumerate(prints)], "fp long, f0 long, f1 long, f2 long, f3 long")
     from citeweave.operators.components import connected_components
 
-    linked = {r.node: r.component for r in connected_components(simhash.links(frame, simhash.wide_keys(), ["f0", "f1", "f2", "f3"], 40, tile=5)).collect()}
+    linked = {r.node: r.component for r in connected_components(simhash.links(frame, wide_keys(), ["f0", "f1", "f2", "f3"], 40, tile=5)).collect()}
     assert [linked.get(k, k) // 12 for k in range(48)] == [k // 12 for k in range(48)]
 
 
