@@ -10,7 +10,8 @@ and every piece finds its place by its rank among the pieces of its length.
 
 Crossover injects whole well-filled bins of one parent, keeps the other
 parent's bins as far as their documents are still free, removes the rest
-as duplicates, and puts the displaced documents where they fit best.
+as duplicates, and puts the displaced documents where they fit best, after
+exchanges with documents of bins that they fill better.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ import random
 import re
 import string
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -203,28 +206,94 @@ def _take(order: list[tuple[Pattern, int]], left: dict[int, int]) -> Solution:
     return taken
 
 
+def _within(pattern: Pattern, most: int) -> list[tuple[int, ...]]:
+    """Distinct groups of up to ``most`` lengths of a bin."""
+    flat = [s for s, k in pattern for _ in range(min(k, most))]
+    return sorted({c for n in range(1, most + 1) for c in combinations(flat, n)})
+
+
+def _fuller(loose: dict[int, int], more: int, at_most: int) -> tuple[int, ...] | None:
+    """One or two loose lengths whose sum is the largest from ``more`` + 1 to ``at_most``; one rather than two."""
+    sizes = sorted(loose)
+    at = bisect_right(sizes, at_most) - 1
+    best = (sizes[at],) if at >= 0 and sizes[at] > more else None
+    for one in sizes:
+        if 2 * one > at_most:
+            break
+        k = bisect_right(sizes, at_most - one) - 1
+        if k >= 0 and sizes[k] == one and loose[one] < 2:
+            k -= 1
+        if k >= 0 and sizes[k] >= one and one + sizes[k] > max(more, sum(best) if best else 0):
+            best = (sizes[k], one)
+    return best
+
+
+def exchange(bins: Solution, loose: dict[int, int], capacity: int, rng: random.Random, tries: int = 200) -> Solution:
+    """Best fit of ``loose`` into ``bins`` after exchanges: up to two documents of a bin give way to one or two loose ones that fill it better.
+
+    At most ``tries`` bins are looked at, chosen at random, fewer the more
+    lengths are loose; what gave way is loose again and smaller, so it fits
+    elsewhere more easily.
+    """
+    bins, loose = dict(bins), dict(loose)
+    room = [p for p in bins if sum(s * k for s, k in p) < capacity]
+    for _ in range(max(10, min(tries, 20_000 // (len(loose) + 1))) if room else 0):
+        if not loose:
+            break
+        pattern = room[rng.randrange(len(room))]
+        if pattern not in bins:
+            continue
+        used, best = sum(s * k for s, k in pattern), None
+        groups = _within(pattern, 2)
+        for out in groups if len(groups) <= 24 else rng.sample(groups, 24):
+            into = _fuller(loose, sum(out), capacity - used + sum(out))
+            if into and (best is None or sum(into) - sum(out) > best[0]):
+                best = (sum(into) - sum(out), out, into)
+        if best is None:
+            continue
+        kept = Counter({s: k for s, k in pattern})
+        kept.subtract(best[1])
+        kept.update(best[2])
+        bins[pattern] -= 1
+        if not bins[pattern]:
+            del bins[pattern]
+        grown = tuple(sorted(((s, k) for s, k in kept.items() if k), reverse=True))
+        if grown not in bins and sum(s * k for s, k in grown) < capacity:
+            room.append(grown)
+        bins[grown] = bins.get(grown, 0) + 1
+        for size in best[2]:
+            loose[size] -= 1
+            if not loose[size]:
+                del loose[size]
+        for size in best[1]:
+            loose[size] = loose.get(size, 0) + 1
+    return best_fit(bins, loose, capacity)
+
+
 def crossover(one: Solution, other: Solution, items: dict[int, int], capacity: int, rng: random.Random) -> Solution:
-    """Child of two solutions: injected well-filled bins of ``one``, what fits of ``other``, the rest by best fit."""
+    """Child of two solutions: injected well-filled bins of ``one``, what fits of ``other``, the rest by exchanges and best fit."""
     left = dict(items)
     full = sorted(one.items(), key=lambda x: -sum(s * k for s, k in x[0]))
     chosen = [(p, rng.randint((m + 1) // 2, m)) for p, m in full[: max(1, len(full) // 2)] if rng.random() < 0.7]
     child = _take(chosen, left)
     for p, n in _take(sorted(other.items(), key=lambda x: -sum(s * k for s, k in x[0])), left).items():
         child[p] = child.get(p, 0) + n
-    return best_fit(child, {s: n for s, n in left.items() if n}, capacity)
+    return exchange(child, {s: n for s, n in left.items() if n}, capacity, rng)
 
 
 def mutate(bins: Solution, capacity: int, rng: random.Random, share: float = 0.1) -> Solution:
-    """Empty the least filled bins and some at random; their documents go where they fit best."""
+    """Empty one of the least filled bins and some at random; their documents go where they fit best, after exchanges."""
     kept, loose = {}, {}
-    worst = {p for p, _ in sorted(bins.items(), key=lambda x: sum(s * k for s, k in x[0]))[: max(1, int(len(bins) * share))]}
+    order = sorted(bins.items(), key=lambda x: sum(s * k for s, k in x[0]))
+    worst = {p for p, _ in order[: max(1, int(len(bins) * share))]}
     for p, m in bins.items():
-        if p in worst or rng.random() < share / 2:
-            for s, k in p:
-                loose[s] = loose.get(s, 0) + m * k
-        else:
-            kept[p] = m
-    return best_fit(kept, loose, capacity)
+        n = (1 if rng.random() < 0.5 else m) if p in worst or rng.random() < share / 2 else 0
+        for s, k in p:
+            if n:
+                loose[s] = loose.get(s, 0) + n * k
+        if m > n:
+            kept[p] = m - n
+    return exchange(kept, loose, capacity, rng)
 
 
 def _founder(items: dict[int, int], capacity: int, rng: random.Random) -> Solution:
@@ -242,13 +311,24 @@ def _founder(items: dict[int, int], capacity: int, rng: random.Random) -> Soluti
     return best_fit(bins, {s: n for s, n in left.items() if n}, capacity)
 
 
-def evolve(items: dict[int, int], capacity: int, seed: int, migrants: list[Solution], population: int = 6, generations: int = 4) -> Solution:
-    """The elite of one island after some generations. Deterministic in its arguments."""
-    rng, total = random.Random(seed), sum(s * n for s, n in items.items())
-    bound = -(-total // capacity)
+def lower_bound(items: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: total length, and for each least length the bins that only longer ones can share."""
+    best = -(-sum(s * n for s, n in items.items()) // capacity)
+    for least in {s for s in items if 2 * s <= capacity} | {0}:
+        alone = sum(n for s, n in items.items() if s > capacity - least)
+        half = {s: n for s, n in items.items() if capacity - least >= s and 2 * s > capacity}
+        small = sum(s * n for s, n in items.items() if least <= s and 2 * s <= capacity)
+        room = sum((capacity - s) * n for s, n in half.items())
+        best = max(best, alone + sum(half.values()) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def evolve(items: dict[int, int], capacity: int, seed: int, migrants: list[Solution], population: int = 8, generations: int = 12) -> Solution:
+    """The elite of one island after some generations, or at the lower bound. Deterministic in its arguments."""
+    rng, bound = random.Random(seed), lower_bound(items, capacity)
     people = [best_fit({}, items, capacity), *migrants]
-    while len(people) < population:
-        people.append(_founder(items, capacity, rng))
+    while len(people) < population and _fitness(people[0], capacity)[0] > bound:
+        people.append(mutate(_founder(items, capacity, rng), capacity, rng))
     people.sort(key=lambda x: _fitness(x, capacity))
     for _ in range(generations):
         if _fitness(people[0], capacity)[0] <= bound:
@@ -270,7 +350,7 @@ def _unpacked(text: str) -> Solution:
     return {tuple((s, k) for s, k in p): m for p, m in json.loads(text)}
 
 
-def solve(spark: SparkSession, items: dict[int, int], capacity: int = 2048, islands: int = 6, epochs: int = 2, seed: int = 7) -> Solution:
+def solve(spark: SparkSession, items: dict[int, int], capacity: int = 2048, islands: int = 6, epochs: int = 3, seed: int = 7) -> Solution:
     """Best solution of all islands. After each epoch every elite also joins the next island of the ring."""
     if not items:
         return {}
@@ -280,7 +360,7 @@ def solve(spark: SparkSession, items: dict[int, int], capacity: int = 2048, isla
             yield pd.DataFrame({"island": frame.island, "elite": [_packed(evolve(items, capacity, seed * 1000 + int(s), [_unpacked(x) for x in m])) for s, m in zip(frame.seed, frame.migrants)]})
 
     elites: list[str] = []
-    bound = -(-sum(s * n for s, n in items.items()) // capacity)
+    bound = lower_bound(items, capacity)
     for epoch in range(epochs):
         rows = [(i, epoch * islands + i, [elites[i], elites[i - 1]] if elites else []) for i in range(islands)]
         frame = spark.createDataFrame(rows, "island int, seed int, migrants array<string>").repartition(islands, "island")
@@ -308,7 +388,7 @@ def layout(bins: Solution) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, islands: int = 6, epochs: int = 2, bucket_rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, islands: int = 6, epochs: int = 3, bucket_rows: int = 20_000) -> DataFrame:
     """``pieces`` with sequence_id and offset; ``pieces`` must be a materialised table.
 
     Sequences hold at most ``capacity`` tokens, without gaps. Rows that repeat

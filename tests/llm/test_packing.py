@@ -61,3 +61,42 @@ def test_evolution_beats_best_fit_where_it_can():
     best = packing.evolve(items, 61, 3, [], population=10, generations=20)
     assert sum(best.values()) <= sum(packing.best_fit({}, items, 61).values())
     assert used(best) == items
+
+
+#: Lengths of six full bins of 60, on which best fit needs seven.
+HARD = ({6: 1, 7: 2, 8: 1, 11: 2, 12: 1, 13: 2, 16: 1, 18: 1, 23: 3, 24: 1, 30: 1, 36: 1, 38: 1, 41: 1}, {4: 1, 6: 1, 7: 1, 8: 2, 11: 1, 13: 1, 19: 4, 20: 2, 21: 1, 24: 1, 32: 1, 33: 1, 37: 1, 40: 1})
+
+
+def test_islands_beat_best_fit(spark):
+    for items in HARD:
+        best = packing.solve(spark, items, 60, islands=3)
+        assert used(best) == items and all(sum(s * k for s, k in p) <= 60 for p in best)
+        assert sum(best.values()) == packing.lower_bound(items, 60) == 6 < sum(packing.best_fit({}, items, 60).values())
+
+
+def test_evolution_wins_on_most_cut_bins():
+    rng, missed, better = random.Random(11), 0, 0
+    while missed < 30:
+        items = {}
+        for _ in range(rng.randint(5, 9)):
+            cuts = sorted(rng.sample(range(6, 54), 2))
+            for s in (cuts[0], cuts[1] - cuts[0], 60 - cuts[1]):
+                items[s] = items.get(s, 0) + 1
+        plain = sum(packing.best_fit({}, items, 60).values())
+        if plain > packing.lower_bound(items, 60):
+            missed += 1
+            found = packing.evolve(items, 60, missed, [])
+            assert used(found) == items
+            better += sum(found.values()) < plain
+    assert better >= 15
+
+
+def test_exchanges_keep_every_item():
+    rng = random.Random(2)
+    for _ in range(50):
+        bins, loose = packing.best_fit({}, {rng.randint(5, 60): rng.randint(1, 3) for _ in range(12)}, 100), {rng.randint(5, 60): rng.randint(1, 3) for _ in range(6)}
+        after = packing.exchange(bins, loose, 100, rng)
+        want = used(bins)
+        for s, n in loose.items():
+            want[s] = want.get(s, 0) + n
+        assert used(after) == want and all(sum(s * k for s, k in p) <= 100 for p in after)
