@@ -89,3 +89,30 @@ def test_item_after_many_of_its_phrase(spark):
     docs = [(k, " ".join(item[:phrase] * 40 + item)) for k, phrase in enumerate((3, 5, 8))]
     got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert {(r.doc_id, r.score, r.first_word, r.last_word) for r in got} == {(k, 1.0, 40 * p, 40 * p + 39) for k, p in enumerate((3, 5, 8))}
+
+
+def test_short_items_are_whole_texts(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "new york"), (2, "new york"), (3, "?!"), (4, None), (5, "a longer item of several words here")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "yes!"), (11, "yes it is"), (12, "New York."), (13, "in new york city"), (14, ""), (15, None), (16, "one longer item of several words here")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in D.contaminated(docs, items).collect()}
+    assert {f[:2] for f in found} == {(10, 1), (12, 2), (16, 5)}
+    assert (10, 1, 1.0, 0, 0) in found and (12, 2, 1.0, 0, 1) in found
+
+
+def test_parts_of_hits_find_the_same(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 14)))) for k in range(30)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for k in range(40)]
+    block = D.Items(items, 3)
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["doc_id", "text"])
+    results = []
+    for hits in (1 << 20, 7):
+        monkeypatch.setattr(D, "HITS", hits)
+        run = D._finder(block, block.seeds(), 0.5, 8, 50)
+        results.append([b.to_pylist() for b in run(iter([batch]))])
+    key = lambda rows: {(r["doc_id"], r["item_id"]): r["score"] for part in rows for r in part}
+    whole, parts = map(key, results)
+    assert len(whole) > 10 and whole.keys() <= parts.keys() and all(parts[k] >= v for k, v in whole.items())
