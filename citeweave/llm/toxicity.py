@@ -125,6 +125,7 @@ def learn(rows: Sequence[tuple[str | None, int]], prior: float, exceptions: tupl
 
     An entry needs ``support`` toxic texts and a log rate ratio of ``least``;
     a longer entry stays only if it weighs clearly more than its beginnings.
+    Phrases in which entries turn out harmless join the given exceptions.
     Equal texts count once. Without both labels every score is the prior.
     """
     texts = [(" ".join(fold(t)), y) for t, y in dict(rows).items()]
@@ -173,12 +174,30 @@ def learn(rows: Sequence[tuple[str | None, int]], prior: float, exceptions: tupl
         if weights[key] > shorter + (0.5 if shorter else 0.0):
             kept[key] = weights[key]
     model = Model({w: x for w, x in kept.items() if w[-1] != "*"}, {w[:-1]: x for w, x in kept.items() if w[-1] == "*"}, exceptions, (0.0,))
+    model = Model(model.whole, model.starts, tuple(dict.fromkeys((*exceptions, *_harmless(model, toxic, clean, support)))), (0.0,))
     automaton = model.automaton()
     x = _features([measure(t.split(), automaton) for t, _ in texts])
     y = np.array([label for _, label in texts], float)
     curve = _logistic(x, y)
     curve[0] += logit - math.log(len(toxic) / len(clean))
-    return Model(model.whole, model.starts, exceptions, tuple(curve.tolist()))
+    return Model(model.whole, model.starts, model.exceptions, tuple(curve.tolist()))
+
+
+def _harmless(model: Model, toxic: list[str], clean: list[str], support: int) -> list[str]:
+    """Two-word phrases with an entry that are in ``support`` clean texts and in no greater share of the toxic ones."""
+
+    def heavy(word: str) -> bool:
+        return word in model.whole or any(word[:k] in model.starts for k in range(4, min(len(word), 11)))
+
+    def phrases(texts: list[str]) -> Counter:
+        found: Counter = Counter()
+        for text in texts:
+            words = text.split()
+            found.update({f"{a} {b}" for a, b in zip(words, words[1:]) if heavy(a) or heavy(b)})
+        return found
+
+    seen, bad = phrases(clean), phrases(toxic)
+    return sorted(p for p, n in seen.items() if n >= support and bad[p] * len(clean) <= n * len(toxic))
 
 
 def _document_counts(texts: list[str], entries) -> Counter:
@@ -212,7 +231,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows
     """Model from documents(doc_id, text) and labels(doc_id, toxic) of rows that are not held out.
 
     Fits on a sample of at most ``toxic_rows`` and ``clean_rows`` labelled ids,
-    the first by a hash of the id; the share of label 1 is that of all of them.
+    the first by a hash of the id, one text each (of a repeated id that of the
+    least hash); the share of label 1 is that of all of them. Null texts are
+    empty; without labels every score is the same.
     """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -220,8 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows
     picked = known.where("toxic > 0").orderBy(order).limit(toxic_rows).union(known.where("toxic <= 0").orderBy(order).limit(clean_rows))
     chosen = {r.doc_id: int(r.toxic > 0) for r in picked.collect()}  # at most toxic_rows + clean_rows ids
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    texts = sorted(((r.doc_id, r.text or "") for r in rows.toLocalIterator()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row an id
+    texts = sorted(((r.doc_id, r.text) for r in rows.toLocalIterator()))
     return learn([(t, chosen[i]) for i, t in texts], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
@@ -232,7 +254,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns in order."""
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns in order.
+
+    A score at the threshold goes; null and empty texts score by the curve
+    without hits; equal rows share their fate; an empty table gives no rows.
+    """
     model, fields = train(docs, labels), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ def model():
 
 
 def test_folding():
-    assert T.fold("ＩＤＩＯＴ id1ot іdіоt i​diot Idiöt $cum") == ["idiot", "idiot", "idiot", "idiot", "idiot", "cum"] or T.fold("id1ot") == ["idiot"]
+    assert T.fold("ＩＤＩＯＴ id1ot іdіоt i​diot Idiöt $cum") == ["idiot", "idiot", "idiot", "idiot", "idiot", "scum"]
     assert T.fold("idiot!! stupid$$$") == ["idiot", "stupid"]
     assert T.fold(None) == T.fold("") == []
 
@@ -51,3 +51,52 @@ def test_held_out_accuracy():
     texts = [("scum like you " * 3, 1), ("an idiot wrote this old scum", 1), ("stone and market by the river", 0), ("", 0)]
     p = 1 / (1 + np.exp(-T._features([T.measure(T.fold(t), a) for t, _ in texts]) @ np.array(m.curve)))
     assert [int(x >= 0.3) for x in p] == [y for _, y in texts]
+
+
+def brute_measure(words, m):
+    """Every word against every entry, phrases word by word; a masked l may read as i."""
+    spared = set()
+    for phrase in m.exceptions:
+        parts = phrase.split()
+        for k in range(len(words) - len(parts) + 1):
+            if words[k : k + len(parts)] == parts:
+                spared.update(range(k, k + len(parts)))
+    total, hits = 0.0, 0
+    for k, word in enumerate(words):
+        own = [x for w, x in m.whole.items() if word in (w, w.replace("l", "i"))] + [x for w, x in m.starts.items() if word.startswith((w, w.replace("l", "i")))]
+        if own and k not in spared:
+            total, hits = total + max(own), hits + 1
+    return total, hits, len(words)
+
+
+def test_scores_equal_brute_force(spark, docs, rows):
+    import math
+    import random
+
+    rng = random.Random(6)
+    m = T.Model({"scum": 2.5, "troll": 1.5, "idiot": 2.0, "river": 0.5}, {"idio": 1.0, "vill": 3.0}, ("troll bridge", "river scum"), (-2.0, 0.4, 0.3, 0.2, 0.1))
+    words = "scum troll idiot idiots idiocy villain vi11ain tr0ll river bridge scum! the a $cum scu trolls".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(150)] + ["", None, "river scum", "troll bridge troll", "scum " * 3000]
+    automaton = m.automaton()
+    got = {r.doc_id: r for r in T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    for k, text in enumerate(texts):
+        total, hits, n = brute_measure(T.fold(text), m)
+        found = T.measure(T.fold(text), automaton)
+        assert (round(found[0], 9), *found[1:]) == (round(total, 9), hits, n), text
+        x = (1, 100 * total / (max(n, 1) + 20), math.log1p(total), math.log1p(hits), math.log1p(max(n, 1)))
+        assert math.isclose(got[k].score, 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, m.curve)))), rel_tol=1e-9)
+
+
+def test_harmless_phrases_are_learned():
+    toxic = [(f"you scum number {k} are scum of a kind", 1) for k in range(30)]
+    clean = [(f"a quiet day {k} by the river with a stone", 0) for k in range(60)] + [(f"pond scum grew on day {k} by the river", 0) for k in range(5)]
+    m = T.learn(toxic + clean, 0.3, exceptions=())
+    assert "scum" in m.whole and "pond scum" in m.exceptions and "you scum" not in m.exceptions
+    assert T.measure(T.fold("pond scum"), m.automaton())[1] == 0 and T.measure(T.fold("old scum"), m.automaton())[1] == 1
+
+
+def test_the_sample_has_one_text_an_id(spark):
+    frame = spark.createDataFrame([(3, f"text number {k % 5}") for k in range(50)] + [(4, None), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    scores = {r.score for r in T.classify(frame, labels).collect()}
+    assert scores and all(0 <= s <= 1 for s in scores)
