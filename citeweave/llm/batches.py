@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,20 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         yield batch.slice(a, b - a)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which lives on, gives the memory it no longer uses back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def words(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, code of each word, row offsets) of ASCII-space separated words; null: none."""
     text = pc.fill_null(text, "").cast(pa.large_string())

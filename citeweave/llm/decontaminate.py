@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.batches import gather, slices, words
+from citeweave.llm.batches import gather, released, slices, words
 
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -153,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     found = docs.sparkSession.createDataFrame([], SCHEMA)
     for k, block in enumerate(_blocks(benchmark, item_id_col, item_text_col, block_bytes)):
         items = Items(block, n)
-        part = own.mapInArrow(_finder(items, items.seeds(), threshold, slack, full_words), SCHEMA)
+        part = own.mapInArrow(released(_finder(items, items.seeds(), threshold, slack, full_words)), SCHEMA)
         found = part if k == 0 else found.unionByName(part)
     return found
 

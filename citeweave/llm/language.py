@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.batches import slices, words
+from citeweave.llm.batches import released, slices, words
 from citeweave.sources.scratch import materialize
 
 #: Sample rows (two longs each) up to which their table is broadcast.
@@ -192,7 +192,7 @@ def sample_counts(docs: DataFrame, per_language: int) -> dict[str, Counter]:
                 counts = Counter((lang, r) for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()) for w in text.lower().split() for r in letter_runs(w))
                 yield pa.record_batch([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "run", "n"])
 
-    counted = rows.mapInArrow(run, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(released(run), "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     out: dict[str, Counter] = {r.lang: Counter() for r in chosen.select("lang").distinct().collect()}  # one row a language
     for row in counted.toLocalIterator():  # the distinct runs of the bounded sample
         out[row.lang][row.run] = row.n
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, langs: list[str], chance: np.ndarray, pieces: list[
                 yield pa.record_batch([part.column("doc_id"), pa.array(name, pa.string()), pa.array(np.where(lettered, share, 0.0))], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(released(run), "doc_id long, lang_pred string, score double")
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.batches import gather, slices, words
+from citeweave.llm.batches import gather, released, slices, words
 from citeweave.sources.scratch import materialize
 
 Pattern = tuple[tuple[int, int], ...]
 Solution = dict[Pattern, int]
 
 #: Words whose ids a Python worker remembers before it starts anew.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 200_000
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Trailing characters that are a token group of their own; none can begin a contraction or a special token.
 PUNCTUATION = "".join(c for c in string.punctuation if c not in "'<|>")
@@ -142,7 +142,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
                 yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def best_fit(bins: Solution, items: dict[int, int], capacity: int) -> Solution:
@@ -206,10 +206,11 @@ def _take(order: list[tuple[Pattern, int]], left: dict[int, int]) -> Solution:
     return taken
 
 
-def _within(pattern: Pattern, most: int) -> list[tuple[int, ...]]:
-    """Distinct groups of up to ``most`` lengths of a bin."""
-    flat = [s for s, k in pattern for _ in range(min(k, most))]
-    return sorted({c for n in range(1, most + 1) for c in combinations(flat, n)})
+def _within(pattern: Pattern, rng: random.Random, most: int = 8) -> list[tuple[int, ...]]:
+    """Distinct lengths and pairs of lengths of a bin, of ``most`` lengths at random if it has more."""
+    some = pattern if len(pattern) <= most else rng.sample(pattern, most)
+    flat = [s for s, k in some for _ in range(min(k, 2))]
+    return sorted({c for n in (1, 2) for c in combinations(flat, n)})
 
 
 def _fuller(loose: dict[int, int], more: int, at_most: int) -> tuple[int, ...] | None:
@@ -244,8 +245,7 @@ def exchange(bins: Solution, loose: dict[int, int], capacity: int, rng: random.R
         if pattern not in bins:
             continue
         used, best = sum(s * k for s, k in pattern), None
-        groups = _within(pattern, 2)
-        for out in groups if len(groups) <= 24 else rng.sample(groups, 24):
+        for out in _within(pattern, rng):
             into = _fuller(loose, sum(out), capacity - used + sum(out))
             if into and (best is None or sum(into) - sum(out) > best[0]):
                 best = (sum(into) - sum(out), out, into)
@@ -323,15 +323,19 @@ def lower_bound(items: dict[int, int], capacity: int) -> int:
     return best
 
 
-def evolve(items: dict[int, int], capacity: int, seed: int, migrants: list[Solution], population: int = 8, generations: int = 12) -> Solution:
-    """The elite of one island after some generations, or at the lower bound. Deterministic in its arguments."""
+def evolve(items: dict[int, int], capacity: int, seed: int, migrants: list[Solution], population: int = 8, generations: int = 12, patience: int = 4) -> Solution:
+    """The elite of one island after some generations, at the lower bound, or when ``patience`` of them save no bin.
+
+    Deterministic in its arguments.
+    """
     rng, bound = random.Random(seed), lower_bound(items, capacity)
     people = [best_fit({}, items, capacity), *migrants]
     while len(people) < population and _fitness(people[0], capacity)[0] > bound:
         people.append(mutate(_founder(items, capacity, rng), capacity, rng))
     people.sort(key=lambda x: _fitness(x, capacity))
+    least, since = _fitness(people[0], capacity)[0], 0
     for _ in range(generations):
-        if _fitness(people[0], capacity)[0] <= bound:
+        if least <= bound or since == patience:
             break
         children = []
         for _ in range(population):
@@ -339,6 +343,8 @@ def evolve(items: dict[int, int], capacity: int, seed: int, migrants: list[Solut
             child = crossover(a, b, items, capacity, rng)
             children.append(mutate(child, capacity, rng) if rng.random() < 0.5 else child)
         people = sorted([*people, *children], key=lambda x: _fitness(x, capacity))[:population]
+        now = _fitness(people[0], capacity)[0]
+        least, since = now, 0 if now < least else since + 1
     return people[0]
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm.arrays import salted
-from citeweave.llm.batches import slices
+from citeweave.llm.batches import released, slices
 from citeweave.sources.scratch import discard, materialize
 
 #: (path, blob) pairs, about 100 bytes each, up to which a table of them is broadcast.
@@ -92,7 +92,7 @@ def scan_unseen(addressed: DataFrame, ledger: DataFrame | None = None, rules_ver
         unseen = addressed.join(F.broadcast(others), same(others), "left_anti")
     else:
         unseen = addressed.join(todo.hint("shuffle_hash"), same(todo), "left_semi")
-    return unseen.select("blob", "text").mapInArrow(_scanned(rules_version), LEDGER_SCHEMA).dropDuplicates(["blob"])
+    return unseen.select("blob", "text").mapInArrow(released(_scanned(rules_version)), LEDGER_SCHEMA).dropDuplicates(["blob"])
 
 
 def _scanned(rules_version: str):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.llm.arrays import salted
-from citeweave.llm.batches import gather, slices
+from citeweave.llm.batches import gather, released, slices
 from citeweave.operators.components import connected_components
 from citeweave.sources.scratch import materialize
 
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch([part.column("doc_id"), pa.array(fp), part.column("text_hash")], names=["doc_id", "fp", "text_hash"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
+    return rows.mapInArrow(released(run), "doc_id long, fp long, text_hash long")
 
 
 def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> tuple[int, ...]:
@@ -138,7 +138,7 @@ def shingle_prints(docs: DataFrame, least: float, id_col: str = "doc_id", text_c
                 yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words + 1)], pa.array([n for _, n, _ in out], pa.int64()), pa.array([x for _, _, x in out], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", *_names(words), "size", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, " + ", ".join(f"{c} long" for c in _names(words)) + ", size long, prefix array<long>")
+    return rows.mapInArrow(released(run), "doc_id long, text_hash long, fp long, " + ", ".join(f"{c} long" for c in _names(words)) + ", size long, prefix array<long>")
 
 
 def _names(words: int) -> list[str]:
@@ -233,7 +233,7 @@ def links(distinct: DataFrame, keys: list | Column, words: list[str], max_bits:
         tile_of = F.transform(met, lambda other: F.greatest(F.col("own"), other) * F.col("chunks") + F.least(F.col("own"), other))
         tiled = keyed.join(hot, ["combination", "block"], "left").withColumn("chunks", chunks).withColumn("own", own).select("fp", *names, "combination", "block", F.explode(tile_of).alias("tile"))
     by = ["combination", "block", "tile"]
-    return tiled.select(*by, "fp", *names).repartition(*by).sortWithinPartitions(*by).mapInArrow(_linked_in_runs(max_bits, len(words)), "src long, dst long")
+    return tiled.select(*by, "fp", *names).repartition(*by).sortWithinPartitions(*by).mapInArrow(released(_linked_in_runs(max_bits, len(words))), "src long, dst long")
 
 
 def classes(prints: DataFrame, keys: list, words: list[str], max_bits: int) -> DataFrame:
@@ -304,12 +304,13 @@ def exact_links(texts: DataFrame, least: float, shingle: int = 5, tile: int = 2
             return pa.record_batch([pa.array(np.ascontiguousarray(ends[:, k])) for k in (0, 1)], names=["src", "dst"])
 
         for batch in batches:
-            for component, part, fp, text in zip(*[c.to_pylist() for c in batch.columns]):
-                if (component, part) != at:
-                    yield flush()
-                    at, kept = (component, part), {}
-                if fp not in kept:
-                    kept[fp] = shingle_set(text, shingle)
+            for some in slices(batch, "text"):
+                for component, part, fp, text in zip(*[c.to_pylist() for c in some.columns]):
+                    if (component, part) != at:
+                        yield flush()
+                        at, kept = (component, part), {}
+                    if fp not in kept:
+                        kept[fp] = shingle_set(text, shingle)
         yield flush()
 
     total = texts.groupBy("component").agg(F.ceil(F.sum("size") / tile).cast("int").alias("chunks"))
@@ -317,7 +318,7 @@ def exact_links(texts: DataFrame, least: float, shingle: int = 5, tile: int = 2
     tile_of = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.greatest(F.col("own"), other) * F.col("chunks") + F.least(F.col("own"), other))
     tiled = texts.join(total, "component").withColumn("own", own).select("component", F.explode(tile_of).alias("tile"), "fp", "text")
     by = ["component", "tile"]
-    return tiled.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "src long, dst long")
+    return tiled.repartition(*by).sortWithinPartitions(*by).mapInArrow(released(run), "src long, dst long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 80, least: float = 0.8) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.batches import slices
+from citeweave.llm.batches import released, slices
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([part.column("doc_id"), pa.array(p), pa.array([m[0] for m in measured], pa.float64()), pa.array([m[1] for m in measured], pa.int64())], names=["doc_id", "score", "weight", "hits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, weight double, hits long")
+    return rows.mapInArrow(released(run), "doc_id long, score double, weight double, hits long")
 
 
 def held_out(column: str = "doc_id", mod: int = 4, rest: int = 2):
@@ -269,4 +269,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
                 p = 1 / (1 + np.exp(-np.clip(_features(measured) @ curve, -30, 30)))
                 yield part.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(released(run), fields)
