@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.operators.evaluate import pair_f1
+from citeweave.operators.resolve import canonical_record
 from citeweave.plans.pipeline import STAGES, Workdir, resolve_pages, resolve_refs
 from citeweave.sources import io
 
@@ -30,7 +31,10 @@ def main(args: list[str] | None = None) -> None:
         io.write_csv(out["quality"], f"{given.output}/quality")
     else:
         out = resolve_refs(io.read_refs_csv(spark, given.input, given.raw_column), work)
-    io.write_csv(out["canonical"], f"{given.output}/canonical_refs")
+    io.write_precleaned(out["cleaned"], f"{given.output}/precleaned")
+    if not out["quarantine"].isEmpty():
+        io.write_jsonl(out["quarantine"], f"{given.output}/quarantine")
+    io.write_csv(canonical_record(out["canonical"]), f"{given.output}/canonical_refs")
     io.write_csv(out["mapping"], f"{given.output}/raw_to_canonical")
     io.write_jsonl(out["review"], f"{given.output}/review_queue")
     io.write_csv(out["ranked"], f"{given.output}/cocited_refs")

@@ -66,3 +66,10 @@ def repaired(text: str | None) -> str | None:
 def repair(text: pd.Series) -> pd.Series:
     """Arrow-batched ``repaired``, for rows that ``string_list`` could not read."""
     return text.map(repaired)
+
+
+def flat_items(cell: Column) -> Column:
+    """JSON objects of a model's answer as strings: lists inside the list are opened one level, other items are dropped."""
+    items = F.from_json(cell, "array<string>")
+    opened = F.flatten(F.transform(items, lambda x: F.when(F.startswith(F.ltrim(x), F.lit("[")), F.from_json(x, "array<string>")).otherwise(F.array(x))))
+    return F.filter(opened, lambda x: F.coalesce(F.startswith(F.ltrim(x), F.lit("{")), F.lit(False)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.functions.arrays import let, located
+
 # Patterns whose matches decide the results.
 SPACE = "[\\s\\x1c-\\x1f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 PAGES = "pp?\\.\\s*\\d+(?:\\s*[-\\u2013]\\s*\\d+)?\\s*"
@@ -130,6 +132,27 @@ def normalize_lines(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(text, "\\r", "\n"), "\n", -1), squeeze)
 
 
+#: Words that stay small inside a title.
+SMALL_WORDS = ("a", "an", "and", "as", "at", "but", "by", "en", "for", "if", "in", "of", "on", "or", "the", "to", "v", "v.", "via", "vs", "vs.")
+
+
+def title_case(title: Column) -> Column:
+    """A title for display: words begin with a capital, small words only at either end; words with capitals inside stay."""
+    clean = squeeze(title)
+    calm = F.when(F.upper(clean) == clean, F.lower(clean)).otherwise(clean)
+    words = F.split(calm, " ")
+    raised = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))
+
+    def cased(ws: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            small = F.lower(w).isin(*SMALL_WORDS) & (i > 0) & (i < F.size(ws) - 1)
+            return F.when(small, F.lower(w)).when(F.rlike(w, F.lit("^.+[A-Z]")), w).otherwise(raised(w))
+
+        return F.array_join(F.transform(ws, one), " ")
+
+    return let(words, cased)
+
+
 def eval_form(text: Column) -> Column:
     """Lower-case letters and digits with single spaces between, for comparing references."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
@@ -141,35 +164,25 @@ def shorten(context: Column, most: int = 400) -> Column:
     return F.when(F.length(line) > most, F.concat(F.regexp_replace(F.substring(line, 1, most), " [^ ]*$", ""), F.lit("…"))).otherwise(line)
 
 
-def context(text: Column, start: Column, end: Column, most: int = 300) -> Column:
-    """Sentence at ``start`` with the one before and the one after, at most ``most`` characters.
-
-    Offsets count code points from 0. Sentences end at ``.``, ``!`` or ``?``;
-    stops without a sentence belong to none.
-    """
-    sentence = "[^.!?]+[.!?]?"
-    both = F.struct(F.split(text, sentence, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(sentence), F.lit(0)).alias("found"))
-    seed = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)").alias("spans"))
+def sentences(text: Column) -> Column:
+    """(s, e) of every sentence in code points from 0; they end at ``.``, ``!`` or ``?``; stops without a sentence belong to none."""
+    return F.transform(located(text, "[^.!?]+[.!?]?"), lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e")))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["g"])
-        stop = begin + F.length(x["t"])
-        return F.struct(stop.alias("at"), F.concat(a["spans"], F.array(F.struct(begin.alias("s"), stop.alias("e"), x["t"].alias("t")))).alias("spans"))
 
-    def located(b: Column) -> Column:
-        pairs = F.zip_with(F.slice(b["gaps"], F.lit(1), F.size(b["found"])), b["found"], lambda g, t: F.struct(g.alias("g"), t.alias("t")))
-        return F.aggregate(pairs, seed, step, lambda a: a["spans"])
+def context(text: Column, start: Column, end: Column, most: int = 300, bounds: Column | None = None) -> Column:
+    """Sentence at ``start`` with the one before and the one after, at most ``most`` characters.
 
+    ``bounds`` are the ``sentences`` of the text, found once a page where many markers need them.
+    """
     def chosen(spans: Column) -> Column:
         marks = F.transform(spans, lambda s, i: F.when((s["s"] <= start) & (start <= s["e"]), i))
         at = F.element_at(F.filter(marks, lambda i: i.isNotNull()), 1)
         low = F.greatest(F.lit(1), at)
-        around = F.array_join(F.transform(F.slice(spans, low, at + 3 - low), lambda s: strip(s["t"])), " ")
+        around = F.array_join(F.transform(F.slice(spans, low, at + 3 - low), lambda s: strip(F.substring(text, s["s"] + 1, s["e"] - s["s"]))), " ")
         has = F.exists(marks, lambda i: i.isNotNull())
         half = most // 2
         window = F.substring(text, F.greatest(start - half, F.lit(0)) + 1, end + half - F.greatest(start - half, F.lit(0)))
         return F.when(has, around).otherwise(window)
 
-    spans = F.element_at(F.transform(F.array(both), located), 1)
-    line = squeeze(F.element_at(F.transform(F.array(spans), chosen), 1))
+    line = squeeze(let(sentences(text) if bounds is None else bounds, chosen))
     return F.when(F.length(line) <= most, line).otherwise(strip(F.substring(line, 1, most)))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.functions.arrays import located
 from citeweave.functions.keys import surname_key
 from citeweave.functions.text import YEAR, first, index_surname, number_list
 
@@ -20,19 +21,7 @@ PAIR = f"{_NAME}[, ]+\\s*((?:19|20)\\d{{2}})([a-z])?"
 
 def matches(text: Column, pattern: str) -> Column:
     """(start, end, value) of all matches, in code points from 0."""
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    seed = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("spans"))
-
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["g"])
-        stop = begin + F.length(x["v"])
-        return F.struct(stop.alias("at"), F.concat(a["spans"], F.array(F.struct(begin.alias("start"), stop.alias("end"), x["v"].alias("value")))).alias("spans"))
-
-    def located(b: Column) -> Column:
-        pairs = F.zip_with(F.slice(b["gaps"], F.lit(1), F.size(b["found"])), b["found"], lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-        return F.aggregate(pairs, seed, step, lambda a: a["spans"])
-
-    return F.element_at(F.transform(F.array(both), located), 1)
+    return F.transform(located(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
 
 def bracket_markers(pages: DataFrame) -> DataFrame:

@@ -32,6 +32,21 @@ def occurrences(citances: DataFrame, mapping: DataFrame) -> DataFrame:
     return resolve_raws(citances.where("raw_ref is not null and raw_ref <> ''"), mapping, "raw_ref")
 
 
+def in_order(occurring: DataFrame, by: list[str]) -> DataFrame:
+    """Occurrences with their number 1.. within their work, in file order ``by``; a work's passages are never gathered in a row."""
+    return occurring.withColumn("number", F.row_number().over(Window.partitionBy("canonical_id").orderBy(*by)))
+
+
+def without_papers(canonical: DataFrame) -> DataFrame:
+    """Records where no citing papers are known: each work counts once, has no sources and no rank order."""
+    return canonical.select("canonical_id", "title", F.lit(1).cast("long").alias("cocitation_count"), F.expr("cast(array() as array<string>)").alias("citing_source_ids")).dropDuplicates(["canonical_id"])
+
+
+def headline(references: DataFrame, paper: str = "paper") -> DataFrame:
+    """(papers, references): the counts that head a report, one row."""
+    return references.agg(F.count_distinct(F.col(paper)).alias("papers"), F.count(F.lit(1)).alias("references"))
+
+
 def hits(occurring: DataFrame, canonical: DataFrame) -> DataFrame:
     """(canonical_id, in_text_hits): zero for works that no passage cites."""
     n = occurring.groupBy("canonical_id").agg(F.count(F.lit(1)).alias("n"))

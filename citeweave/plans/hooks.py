@@ -32,25 +32,114 @@ def bisected(batch: list[str], call: Callable[[list[str]], list[dict]]) -> tuple
     return sorted(done, key=lambda x: x[0]), sorted(failed)
 
 
+#: Fields beyond surname, year and title that a model may give.
+DETAILS = ("given", "venue", "type", "doi", "volume", "pages")
+
+
 def extract_with(rows: DataFrame, call: Callable[[list[str]], list[dict]], batch: int = BATCH) -> DataFrame:
-    """(ord, cleaned, surname, year, title, _error) by a model that maps strings to records; failures carry their error."""
+    """``rows`` with surname, year, year_suffix, title, details and _error by a model that maps cleaned strings to records.
+
+    A batch that fails is halved; a string that fails alone has its error and no fields.
+    """
+    texts = ("surname", "year_suffix", "title", *DETAILS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k in range(0, len(frame), batch):
-                part = frame.iloc[k : k + batch]
+                part = frame.iloc[k : k + batch].reset_index(drop=True)
                 done, failed = bisected(list(part.cleaned), call)
-                out = part[["ord", "cleaned"]].reset_index(drop=True)
-                for name in ("surname", "year", "title"):
-                    out[name] = None
-                out["_error"] = None
-                for i, r in done:
-                    out.loc[i, ["surname", "year", "title"]] = [r.get("surname"), r.get("year"), r.get("title")]
-                for i, why in failed:
-                    out.loc[i, "_error"] = why
-                yield out.astype({"year": "Int32"})
+                found, why = dict(done), dict(failed)
+                out = {c: part[c] for c in part.columns}
+                for name in texts:
+                    out[f"_{name}"] = pd.Series([None if found.get(i, {}).get(name) is None else str(found[i][name]) for i in range(len(part))], dtype=object)
+                out["_year"] = pd.Series([_whole(found.get(i, {}).get("year")) for i in range(len(part))], dtype="Int32")
+                out["_error"] = pd.Series([why.get(i) for i in range(len(part))], dtype=object)
+                yield pd.DataFrame(out)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"_{c} string" for c in texts), "_year int", "_error string"])
+    found = rows.mapInPandas(run, schema)
+    return found.select(*rows.columns, F.col("_surname").alias("surname"), F.col("_year").alias("year"), F.col("_year_suffix").alias("year_suffix"), F.col("_title").alias("title"), F.struct(*[F.col(f"_{c}").alias(c) for c in DETAILS]).alias("details"), "_error")
+
+
+def _whole(value: object) -> int | None:
+    """An int where the value is one, else None."""
+    try:
+        return int(str(value))
+    except ValueError:
+        return None
+
+
+def members(clustered: DataFrame) -> DataFrame:
+    """(cluster_id, members): distinct records of the clusters that no rule decides, in order."""
+    open_ = clustered.where(~F.col("tier").isin("auto", "singleton"))
+    one = F.struct("member_rank", "surname", "year", "title", "cleaned")
+    return open_.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_set(one)), lambda m: F.struct(m["surname"].alias("surname"), m["year"].alias("year"), m["title"].alias("title"), m["cleaned"].alias("raw"))).alias("members"))
+
+
+def _asked(judged: DataFrame, sets: DataFrame, call: Callable[[list[dict]], dict]) -> DataFrame:
+    """``judged`` rows of the clusters in ``sets`` with what ``call(members)`` says in place of their verdict; a failure is uncertain."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            said = []
+            for rows in frame.members:
+                try:
+                    said.append(dict(call([dict(r) for r in rows])))
+                except Exception as e:  # noqa: BLE001  a model's answer may fail in any way
+                    said.append({"reasoning": str(e)})
+            yield pd.DataFrame({"_cluster": frame.cluster_id, "_verdict": [x.get("verdict") if x.get("verdict") in ("same", "different") else "uncertain" for x in said], "_confidence": [float(x.get("confidence") or 0.2) for x in said], "_lookup": [bool(x.get("needs_external_lookup")) for x in said]})
+
+    told = sets.mapInPandas(run, "_cluster long, _verdict string, _confidence double, _lookup boolean")
+    joined = judged.join(told, judged["cluster_id"] == F.col("_cluster"), "left")
+    kept = [c for c in judged.columns if c not in ("verdict", "confidence", "needs_external_lookup")]
+    return joined.select(*kept, F.coalesce("_verdict", "verdict").alias("verdict"), F.coalesce("_confidence", "confidence").alias("confidence"), F.coalesce("_lookup", "needs_external_lookup").alias("needs_external_lookup"))
+
+
+def judge_with(clustered: DataFrame, judged: DataFrame, call: Callable[[list[dict]], dict]) -> DataFrame:
+    """Verdicts of ``call(members)`` for clusters that no rule decides; a failed answer is uncertain at 0.2."""
+    return _asked(judged, members(clustered), call)
+
+
+def needs_agent() -> Column:
+    return (F.col("verdict") == "uncertain") | F.col("needs_external_lookup")
+
+
+def agent_over(clustered: DataFrame, judged: DataFrame, call: Callable[[list[dict]], dict]) -> DataFrame:
+    """Verdicts of ``call(members)`` where the judge is uncertain or asks for a lookup; the agent sees the whole cluster."""
+    wanted = judged.where(needs_agent()).select(F.col("cluster_id").alias("_open"))
+    sets = members(clustered).join(wanted, F.col("cluster_id") == F.col("_open"), "left_semi")
+    return _asked(judged, sets, call)
+
+
+def fallback_with(docs: DataFrame, found: DataFrame, quality: DataFrame, call: Callable[[str], list[str]], most: int = 30_000, attempts: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(references, quality with fallback_invoked): papers below the thresholds are read again by ``call(section text)``.
+
+    The section is cut to ``most`` characters and tried ``attempts`` times; an
+    answer counts if it has no fewer references than the heuristic found.
+    """
+
+    def one(text: str) -> list[str] | None:
+        for _ in range(attempts):
+            try:
+                return [str(x).strip() for x in call(text) if str(x).strip()]
+            except Exception:  # noqa: BLE001  a model's answer may fail in any way
+                continue
+        return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = [one(t) for t in frame.text]
+            yield pd.DataFrame({"paper": [p for p, g, n in zip(frame.paper, got, frame.n_refs) if g and len(g) >= n], "refs": [g for g, n in zip(got, frame.n_refs) if g and len(g) >= n]})
+
+    low = quality.where("needs_fallback").select("paper", "n_refs")
+    section = F.coalesce(F.col("section.text"), F.array_join("texts", "\n"))
+    again = docs.join(low, "paper").select("paper", F.substring(section, 1, most).alias("text"), "n_refs").mapInPandas(run, "paper string, refs array<string>")
+    from citeweave.sources.scratch import materialize
 
-    return rows.select("ord", "cleaned").mapInPandas(run, "ord long, cleaned string, surname string, year int, title string, _error string")
+    again = materialize(again, "fallback")
+    read = again.select("paper", F.posexplode("refs").alias("p", "raw_ref")).select("paper", (F.col("p") + 1).alias("ordinal"), "raw_ref")
+    merged = found.join(again.select("paper"), "paper", "left_anti").unionByName(read)
+    return merged, quality.withColumn("fallback_invoked", F.col("needs_fallback"))
 
 
 def tool_loop(ask: Callable[[list[dict]], dict], tools: dict[str, Callable[..., object]], question: str, max_calls: int = MAX_CALLS) -> dict:
@@ -88,9 +177,9 @@ def agent_with(judged: DataFrame, decide: Callable[[str], dict]) -> DataFrame:
         found = [decide(t or "") for t in titles]
         return pd.DataFrame({"verdict": [x.get("verdict", "uncertain") for x in found], "confidence": [float(x.get("confidence", 0.2)) for x in found]})
 
-    open_ = judged.where("verdict = 'uncertain'").withColumn("_a", ask(F.col("head.title")))
+    open_ = judged.where(needs_agent()).withColumn("_a", ask(F.col("head.title")))
     settled = open_.withColumn("verdict", F.col("_a.verdict")).withColumn("confidence", F.col("_a.confidence")).drop("_a")
-    return judged.where("verdict <> 'uncertain'").unionByName(settled)
+    return judged.where(~needs_agent()).unionByName(settled)
 
 
 def citing_context(rows: DataFrame, citances: DataFrame) -> DataFrame:

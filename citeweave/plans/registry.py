@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import jsonlist, keys, text
 from citeweave.operators import citances, cluster, cocite, components, discover, evaluate, parse, resolve
-from citeweave.plans import refs
+from citeweave.plans import hooks, refs
 from citeweave.plans.oracle import RENDER_PAGES, RENDER_SECTIONS, sql
+from citeweave.sources import cache
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,7 +224,18 @@ def q_enrich_rank(spark, d):
 
 @query("SELECT DISTINCT canonical_id, 1::BIGINT AS cocitation_count, 0::BIGINT AS n_sources FROM xm", "xm")
 def q_csv_mode(spark, d):
-    return refs.exact_mapping(spark, d).select("canonical_id", F.lit(1).cast("long").alias("cocitation_count"), F.lit(0).cast("long").alias("n_sources")).distinct()
+    return cocite.without_papers(refs.exact_mapping(spark, d)).select("canonical_id", "cocitation_count", F.size("citing_source_ids").cast("long").alias("n_sources"))
+
+
+@query("SELECT count(DISTINCT citing_paper_id) AS papers, count(*) AS references FROM p".replace("references", '"references"'), "p")
+def q_headline(spark, d):
+    return cocite.headline(refs.cleaned(spark, d), "citing_paper_id")
+
+
+@query("SELECT cleaned, arg_min(raw, ord) AS raw, min(ord) AS ord FROM p GROUP BY cleaned", "p")
+def q_first_wins(spark, d):
+    rows = refs.cleaned(spark, d).select("cleaned", "raw", C("ord").alias("at"), "ord")
+    return resolve.first_wins(rows, "cleaned", "at").select("cleaned", "raw", "ord")
 
 
 # citances
@@ -323,9 +335,13 @@ def q_incontext_top10(spark, d):
     return cocite.top(hit, 10).select("canonical_id", "hits", "rank")
 
 
-@query("SELECT paper, page, raw_ref FROM nl WHERE number > 8 AND raw_ref IS NOT NULL AND page < 0", "nl")
+@query("SELECT paper, page, number, CASE WHEN number % 3 = 0 THEN 'unlinked' WHEN number % 3 = 1 THEN 'raw' ELSE 'confidence' END AS why FROM nl WHERE number % 3 = 2 OR raw_ref IS NOT NULL", "nl")
 def q_citance_violations(spark, d):
-    return citances.violations(citances.link_numbered(_pages(spark, d), _bibliography(spark, d))).select("paper", "page", "raw_ref")
+    """Every rule broken once by number: linked rows called unlinked, links that lose their reference, confidences out of range."""
+    linked = citances.link_numbered(_pages(spark, d), _bibliography(spark, d))
+    broken = linked.withColumn("link_method", F.when(C("number") % 3 == 0, "unlinked").otherwise(C("link_method"))).withColumn("raw_ref", F.when(C("number") % 3 == 1, F.lit(None)).otherwise(C("raw_ref"))).withColumn("link_confidence", F.when(C("number") % 3 == 2, 1.5).otherwise(C("link_confidence")))
+    why = F.when(C("number") % 3 == 0, "unlinked").when(C("number") % 3 == 1, "raw").otherwise("confidence")
+    return citances.violations(broken).select("paper", "page", "number", why.alias("why"))
 
 
 # papers: section, split, quality, header
@@ -398,26 +414,26 @@ WORKS = "SELECT o_orderkey AS work_id, year(o_orderdate)::INT AS year, n AS cite
 def _works(spark, d):
     orders, line = refs.tables(spark, d, "orders", "lineitem")
     cited = line.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("cited_by_count"))
-    return orders.join(cited, orders.o_orderkey == cited.l_orderkey).select(C("o_orderkey").alias("work_id"), C("o_custkey").alias("author_id"), F.year("o_orderdate").alias("year"), "cited_by_count", F.round(C("o_totalprice") / 1000, 3).alias("relevance_score"), F.lit("x.pdf").alias("pdf_url"))
+    return orders.join(cited, orders.o_orderkey == cited.l_orderkey).select(C("o_orderkey").alias("work_id"), C("o_custkey").alias("author_id"), F.year("o_orderdate").alias("year"), "cited_by_count", F.round(C("o_totalprice") / 1000, 3).alias("relevance_score"), F.when(C("o_orderkey") % 3 != 0, F.lit("x.pdf")).alias("pdf_url"))
 
 
 def _papers(order: str) -> str:
-    return f"SELECT work_id, year, cited_by_count FROM ({WORKS}) ORDER BY {order}, work_id LIMIT 25"
+    return f"SELECT work_id, year, cited_by_count FROM (SELECT * FROM ({WORKS}) ORDER BY {order}, work_id LIMIT 25) WHERE work_id % 3 <> 0 ORDER BY {order}, work_id LIMIT 10"
 
 
 @query(_papers("year DESC"))
 def q_papers_recency(spark, d):
-    return discover.search(_works(spark, d), 25, "recency").select("work_id", "year", "cited_by_count")
+    return discover.search(_works(spark, d), 10, "recency").select("work_id", "year", "cited_by_count")
 
 
 @query(_papers("cited_by_count DESC"))
 def q_papers_citations(spark, d):
-    return discover.search(_works(spark, d), 25, "citations").select("work_id", "year", "cited_by_count")
+    return discover.search(_works(spark, d), 10, "citations").select("work_id", "year", "cited_by_count")
 
 
 @query(_papers("score DESC, cited_by_count DESC"))
 def q_papers_relevance(spark, d):
-    return discover.search(_works(spark, d), 25, "relevance").select("work_id", "year", "cited_by_count")
+    return discover.search(_works(spark, d), 10, "relevance").select("work_id", "year", "cited_by_count")
 
 
 AUTHORS = f"SELECT c_custkey AS author_id, c_name, c_mktsegment, coalesce(sum(cited_by_count), 0)::BIGINT AS cites FROM customer LEFT JOIN ({WORKS.replace('SELECT o_orderkey', 'SELECT o_custkey, o_orderkey')}) ON o_custkey = c_custkey GROUP BY ALL"
@@ -468,19 +484,23 @@ def q_cache_last_wins(spark, d):
 
 @query("SELECT CASE WHEN hit THEN 'hit' ELSE 'miss' END AS state, count(*) AS n FROM (SELECT cleaned IN (SELECT cleaned FROM p WHERE line = 1) AS hit FROM p) GROUP BY 1", "p")
 def q_cache_split(spark, d):
-    rows = refs.cleaned(spark, d).withColumn("key", keys.cache_key(C("cleaned")))
-    cache = rows.where("line = 1").select("key").distinct()
-    hit, miss = rows.join(cache, "key", "left_semi"), rows.join(cache, "key", "left_anti")
+    rows = refs.cleaned(spark, d)
+    kept = rows.where("line = 1").select(keys.cache_key(C("cleaned")).alias("key"), F.lit(None).cast("timestamp").alias("written_at")).distinct()
+    hit, miss = cache.split(rows, kept)
     return hit.select(F.lit("hit").alias("state")).union(miss.select(F.lit("miss").alias("state"))).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE (props->>'k')::INT >= 50 GROUP BY 1")
+@query("SELECT ord, contains(cleaned, 'Jones') AS failed, CASE WHEN NOT contains(cleaned, 'Jones') THEN (length(cleaned) % 100 + 1900)::INT END AS year FROM p", "p")
 def q_quarantine(spark, d):
-    """Rows whose JSON breaks a rule (here: k of 50 or more) leave the valid stream."""
-    (events,) = refs.tables(spark, d, "events")
-    parsed = events.withColumn("p", F.from_json("props", "k int, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    bad = C("p._corrupt").isNotNull() | C("p.k").isNull() | (C("p.k") >= 50)
-    return parsed.where(bad).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """A model that fails on some strings: its batches are halved until those alone are in quarantine."""
+
+    def model(batch: list[str]) -> list[dict]:
+        if any("Jones" in x for x in batch):
+            raise ValueError("no answer")
+        return [{"title": x, "year": len(x) % 100 + 1900} for x in batch]
+
+    rows = refs.cleaned(spark, d).select("ord", "cleaned")
+    return hooks.extract_with(rows, model).select("ord", C("_error").isNotNull().alias("failed"), "year")
 
 
 @query("SELECT ord, list_transform([cleaned, raw], lambda z: z)[1] AS first_item, 2::BIGINT AS n FROM p", "p")

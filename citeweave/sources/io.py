@@ -49,6 +49,49 @@ def read_canonical(spark: SparkSession, path: str) -> DataFrame:
     return ordered.groupBy("canonical_id").agg(F.max_by(F.struct(*others), "_at").alias("r")).select("canonical_id", "r.*")
 
 
+def read_precleaned(spark: SparkSession, path: str) -> DataFrame:
+    """(citing_paper_id, raw, cleaned) of a written table; empty cells are empty strings."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("citing_paper_id", "raw", "cleaned")])
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, canonical_id): the last row of each raw string. The file must exist."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    ordered = rows.withColumn("_at", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")))
+    return ordered.groupBy("raw").agg(F.max_by("canonical_id", "_at").alias("canonical_id"))
+
+
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the PDF files of a folder; FileNotFoundError for a missing folder or one without any."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+        empty = files.select("path").isEmpty()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise FileNotFoundError(path) from e
+    if empty:
+        raise FileNotFoundError(f"no PDF in {path}")
+    return files
+
+
+def read_pdf_spans(spark: SparkSession, path: str) -> DataFrame:
+    """(paper, ord, text, size): type spans of first pages, for titles; needs a PDF library on the executors."""
+
+    def run(frames: Iterator) -> Iterator:
+        import fitz
+        import pandas as pd
+
+        for frame in frames:
+            for name, content in zip(frame.path, frame.content):
+                with fitz.open(stream=bytes(content), filetype="pdf") as pdf:
+                    found = [(s["text"].strip(), float(s["size"])) for block in (pdf[0].get_text("dict")["blocks"] if len(pdf) else []) for line in block.get("lines", []) for s in line["spans"]]
+                yield pd.DataFrame({"paper": [os.path.basename(name)] * len(found), "ord": range(len(found)), "text": [t for t, _ in found], "size": [x for _, x in found]})
+
+    return pdf_files(spark, path).mapInPandas(run, "paper string, ord int, text string, size double")
+
+
 def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
     """(paper, page, text) of the PDF files of a folder; needs a PDF library on the executors."""
 
@@ -61,8 +104,7 @@ def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
                 with fitz.open(stream=bytes(content), filetype="pdf") as pdf:
                     yield pd.DataFrame({"paper": [os.path.basename(name)] * len(pdf), "page": range(1, len(pdf) + 1), "text": [p.get_text("text") for p in pdf]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    return files.select("path", "content").mapInPandas(run, "paper string, page int, text string")
+    return pdf_files(spark, path).mapInPandas(run, "paper string, page int, text string")
 
 
 def read_config(path: str) -> dict:
@@ -94,6 +136,16 @@ def raw_refs(documents: DataFrame) -> DataFrame:
     return documents.select("citing_paper_id", F.explode("references").alias("raw"))
 
 
+def citance_rows(documents: DataFrame) -> DataFrame:
+    """The citances of parsed documents, one row each."""
+    return documents.select(F.explode("citances").alias("c")).select("c.*")
+
+
+def write_precleaned(cleaned: DataFrame, path: str) -> None:
+    """(citing_paper_id, raw, cleaned) as CSV."""
+    write_csv(cleaned.select("citing_paper_id", "raw", "cleaned"), path)
+
+
 def cocited_table(ranked: DataFrame) -> DataFrame:
     """Report columns as text: authors and sources joined, confidence with two places, nulls empty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
