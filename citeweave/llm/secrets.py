@@ -84,8 +84,7 @@ def scan_unseen(addressed: DataFrame, ledger: DataFrame | None = None, rules_ver
         firsts = firsts.join(ledger.where(F.col("rules_version") == rules_version).select("blob").distinct(), "blob", "left_anti")
     todo = materialize(firsts.select(F.col("blob").alias("_blob"), F.col("path").alias("_path")), "blob-todo")
     same = lambda t: F.col("path").eqNullSafe(t["_path"]) & (F.col("blob") == t["_blob"])
-    standing = todo.select(F.col("_blob").alias("blob"), F.col("_path").alias("path"), F.lit(True).alias("_stands"))
-    others = materialize(salted(pairs, standing, ["blob", "path"], ["path"], "left").where("_stands is null").select(F.col("path").alias("_path"), F.col("blob").alias("_blob")).distinct(), "blob-rest")
+    others = materialize(pairs.join(todo, same(todo), "left_anti").select(F.col("path").alias("_path"), F.col("blob").alias("_blob")).distinct(), "blob-rest")
     if todo.count() <= BROADCAST_PAIRS:
         unseen = addressed.join(F.broadcast(todo), same(todo), "left_semi")
     elif others.count() <= BROADCAST_PAIRS:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.arrays import salted
+from citeweave.llm.arrays import hot_keys, salted
 from citeweave.llm.batches import gather, released, slices
 from citeweave.operators.components import connected_components
 from citeweave.sources.scratch import materialize
@@ -253,7 +253,7 @@ def _named(least: DataFrame, found: DataFrame) -> DataFrame:
     linked = connected_components(found)
     root = materialize(least.join(linked, least.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "roots")
     named = root.groupBy("root").agg(F.min("least").alias("leader"))
-    return salted(root.select("fp", "root"), named, ["root"], ["fp"]).select("fp", "leader", F.col("leader.doc_id").alias("component_id"))
+    return salted(root.select("fp", "root"), named, ["root"], ["fp"], hot=hot_keys(root, ["root"])).select("fp", "leader", F.col("leader.doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, max_bits: int = 4, matched: int = 2) -> DataFrame:
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id names a class only if it has no other. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
-    named = salted(prints, classes(prints, block_keys("fp", max_bits, matched), ["fp"], max_bits), ["fp"], ["doc_id", "text_hash"])
+    named = salted(prints, classes(prints, block_keys("fp", max_bits, matched), ["fp"], max_bits), ["fp"], ["doc_id", "text_hash"], hot=hot_keys(prints, ["fp"]))
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
