@@ -6,6 +6,8 @@ from citeweave.functions.keys import PARTICLES
 from citeweave.plans.refs import RENDER
 
 YEAR = r"\b((?:19|20)\d{2})([a-z])?\b"
+#: Digits only, or too short once stripped.
+NOISE = r"regexp_full_match(bare, '\d+') OR length(bare) < 6"
 PAGES = r"pp?\.\s*\d+(?:\s*[-–]\s*\d+)?\s*"
 
 
@@ -13,7 +15,7 @@ def _preclean() -> str:
     text = "bare"
     for pattern, put in ((r"\s+", " "), (r"\s*&\s*", " and "), (r"''s\b", ""), (rf",\s*{PAGES}\)", ")"), (rf"\s+{PAGES}\)", ")"), (rf",\s*{PAGES}$", ""), (rf"\s+{PAGES}$", ""), (r"\band([A-Z])", r"and \1"), (r"\s+", " ")):
         text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
-    return f"CASE WHEN regexp_full_match(bare, '\\d+') OR length(bare) < 6 THEN NULL ELSE nullif(trim({text}), '') END"
+    return f"CASE WHEN {NOISE} THEN NULL ELSE nullif(trim({text}), '') END"
 
 
 def surname_key(source: str, column: str, key: str = "key") -> str:
@@ -97,7 +99,7 @@ CTES: list[tuple[str, str]] = [
     ("xn", "SELECT canonical_id, count(DISTINCT citing_paper_id) AS cocitation_count FROM xr GROUP BY 1"),
     ("xk", "SELECT canonical_id, title, surname, year, cocitation_count FROM xn JOIN xt USING (canonical_id)"),
     ("pg", RENDER_PAGES.replace("{names}", "Smith,van der Vaart,Jones,de la Cruz,Nguyen,Levin,Vance,Hastie,Wood,Vaswani")),
-    ("rf", "SELECT substr(citing_paper_id, 2) AS paper, row_number() OVER (PARTITION BY citing_paper_id ORDER BY ord) AS ordinal, raw AS raw_ref FROM r WHERE line % 6 <> 5"),
+    ("rf", f"SELECT substr(citing_paper_id, 2) AS paper, row_number() OVER (PARTITION BY citing_paper_id ORDER BY ord) AS ordinal, raw AS raw_ref FROM rs WHERE NOT ({NOISE})"),
     ("bm0", offsets("pg", "paper, page", BRACKET)),
     ("bm1", r"SELECT *, unnest(string_split_regex(substr(value, 2, length(value) - 2), '\s*,\s*')) AS piece FROM bm0"),
     ("bm2", r"SELECT *, CASE WHEN regexp_full_match(piece, '\d+') THEN [piece::INT] WHEN regexp_full_match(piece, '\d+\s*[-–]\s*\d+') THEN CASE WHEN regexp_extract(piece, '^(\d+)', 1)::INT <= regexp_extract(piece, '(\d+)$', 1)::INT AND regexp_extract(piece, '(\d+)$', 1)::INT - regexp_extract(piece, '^(\d+)', 1)::INT <= 50 THEN range(regexp_extract(piece, '^(\d+)', 1)::INT, regexp_extract(piece, '(\d+)$', 1)::INT + 1)::INT[] ELSE [] END ELSE [] END AS ns FROM bm1"),
@@ -122,7 +124,7 @@ CTES: list[tuple[str, str]] = [
     ("ocs", rf"SELECT occ.*, regexp_replace(raw_ref, '^\s+|\s+$', '', 'g') AS bare FROM occ"),
     ("ocl", f"SELECT ocs.*, {_preclean()} AS cleaned FROM ocs"),
     ("oc", "SELECT paper, page, raw_ref, coalesce(a.canonical_id, z.canonical_id) AS canonical_id FROM ocl LEFT JOIN xm a ON ocl.raw_ref = a.raw LEFT JOIN xm z ON ocl.cleaned = z.raw WHERE coalesce(a.canonical_id, z.canonical_id) IS NOT NULL"),
-    ("sb", "SELECT citing_paper_id, lay, CASE WHEN lay = 2 THEN string_agg(raw, chr(10) || chr(10) ORDER BY k) ELSE string_agg(concat(CASE lay WHEN 0 THEN concat('[', cast(k as string), '] ') ELSE concat(cast(k as string), '. ') END, raw), chr(10) ORDER BY k) END AS body FROM (SELECT *, row_number() OVER (PARTITION BY citing_paper_id ORDER BY ord) AS k FROM r WHERE line % 6 <> 5), (SELECT unnest([0, 1, 2]) AS lay) GROUP BY 1, 2"),
+    ("sb", f"SELECT citing_paper_id, lay, CASE WHEN lay = 2 THEN string_agg(raw, chr(10) || chr(10) ORDER BY k) ELSE string_agg(concat(CASE lay WHEN 0 THEN concat('[', cast(k as string), '] ') ELSE concat(cast(k as string), '. ') END, raw), chr(10) ORDER BY k) END AS body FROM (SELECT *, row_number() OVER (PARTITION BY citing_paper_id ORDER BY ord) AS k FROM rs WHERE NOT ({NOISE})), (SELECT unnest([0, 1, 2]) AS lay) GROUP BY 1, 2"),
     ("sd", RENDER_SECTIONS.replace("({inner}) AS d", "sb")),
     ("ss", r"SELECT paper, lay, text, regexp_replace(string_split_regex(string_split_regex(text, '(?im)^\s*(?:references|bibliography|works cited)\s*$')[-1], '(?im)^\s*(?:appendix|appendices|acknowledge?ments?|supplementary materials?|funding|author contributions)\s*$')[1], '^\s+|\s+$', '', 'g') AS section FROM sd"),
     ("sr0", r"SELECT paper, lay, unnest(list_filter(list_transform(CASE WHEN lay = 0 AND len(regexp_extract_all(section, '(?m)^\s*\[(\d+)\]\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\[\d+\]\s+', chr(1) || '\0', 'g'), chr(1))[2:] WHEN lay = 1 AND len(regexp_extract_all(section, '(?m)^\s*(\d+)\.\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\d+\.\s+', chr(1) || '\0', 'g'), chr(1))[2:] ELSE string_split_regex(section, '\n\s*\n') END, lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: length(t) >= 20)) AS raw_ref FROM ss"),

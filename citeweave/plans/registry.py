@@ -248,7 +248,7 @@ def _pages(spark, d):
 
 def _bibliography(spark, d):
     """References of the papers that have pages, ordinal by ord."""
-    rows = refs.refs(spark, d).where("line % 6 <> 5").select(F.substring("citing_paper_id", 2, 30).alias("paper"), "ord", C("raw").alias("raw_ref"))
+    rows = refs.refs(spark, d).where(~text.is_noise(C("raw"))).select(F.substring("citing_paper_id", 2, 30).alias("paper"), "ord", C("raw").alias("raw_ref"))
     w = cocite.Window.partitionBy("paper").orderBy("ord")
     return rows.select("paper", F.row_number().over(w).alias("ordinal"), "raw_ref")
 
@@ -349,7 +349,7 @@ def q_citance_violations(spark, d):
 
 def _sections(spark, d):
     """Every paper in three layouts: bracket numbers, plain numbers, blank lines."""
-    rows = refs.refs(spark, d).where("line % 6 <> 5")
+    rows = refs.refs(spark, d).where(~text.is_noise(C("raw")))
     w = cocite.Window.partitionBy("citing_paper_id").orderBy("ord")
     numbered = rows.withColumn("k", F.row_number().over(w)).groupBy("citing_paper_id").agg(F.sort_array(F.collect_list(F.struct("k", "raw"))).alias("a"))
     k, lay = lambda x: x["k"].cast("string"), C("lay")
