@@ -313,14 +313,17 @@ def _founder(items: dict[int, int], capacity: int, rng: random.Random) -> Soluti
 
 def lower_bound(items: dict[int, int], capacity: int) -> int:
     """No packing has fewer bins: total length, and for each least length the bins that only longer ones can share."""
-    best = -(-sum(s * n for s, n in items.items()) // capacity)
-    for least in {s for s in items if 2 * s <= capacity} | {0}:
-        alone = sum(n for s, n in items.items() if s > capacity - least)
-        half = {s: n for s, n in items.items() if capacity - least >= s and 2 * s > capacity}
-        small = sum(s * n for s, n in items.items() if least <= s and 2 * s <= capacity)
-        room = sum((capacity - s) * n for s, n in half.items())
-        best = max(best, alone + sum(half.values()) + max(0, -(-(small - room) // capacity)))
-    return best
+    top = max([capacity, *items])
+    count = np.zeros(top + 1, np.int64)
+    for s, n in items.items():
+        count[s] = n
+    number, total = (np.concatenate([[0], np.cumsum(x)]) for x in (count, count * np.arange(top + 1)))  # of sizes below each
+    half = capacity // 2 + 1
+    least = np.array(sorted({s for s in items if 2 * s <= capacity} | {0}))
+    shared = capacity - least + 1  # longer ones stand alone
+    room = capacity * (number[shared] - number[half]) - (total[shared] - total[half])
+    more = np.maximum(0, -(-(total[half] - total[least] - room) // capacity))
+    return max(-(-int(total[-1]) // capacity), int(number[-1] - number[half] + more.max()))
 
 
 def evolve(items: dict[int, int], capacity: int, seed: int, migrants: list[Solution], population: int = 8, generations: int = 12, patience: int = 4) -> Solution:

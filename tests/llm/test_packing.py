@@ -100,3 +100,20 @@ def test_exchanges_keep_every_item():
         for s, n in loose.items():
             want[s] = want.get(s, 0) + n
         assert used(after) == want and all(sum(s * k for s, k in p) <= 100 for p in after)
+
+
+def test_lower_bound_equals_its_definition():
+    def slow(items, capacity):
+        best = -(-sum(s * n for s, n in items.items()) // capacity)
+        for least in {s for s in items if 2 * s <= capacity} | {0}:
+            big = sum(n for s, n in items.items() if 2 * s > capacity)
+            small = sum(s * n for s, n in items.items() if least <= s and 2 * s <= capacity)
+            room = sum((capacity - s) * n for s, n in items.items() if 2 * s > capacity and s <= capacity - least)
+            best = max(best, big + max(0, -(-(small - room) // capacity)))
+        return best
+
+    rng = random.Random(11)
+    for _ in range(500):
+        capacity = rng.randint(1, 60)
+        items = {rng.randint(1, capacity): rng.randint(1, 9) for _ in range(rng.randint(0, 30))}
+        assert packing.lower_bound(items, capacity) == slow(items, capacity)
