@@ -126,9 +126,9 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; nested cells as JSON text."""
+    """CSV with a header; nested cells as JSON text; white space around a cell stays."""
     nested = [f.name for f in df.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))]
-    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def raw_refs(documents: DataFrame) -> DataFrame:
