@@ -55,6 +55,18 @@ SELECT concat(citing_paper_id, '-', cast(lay as string)) AS paper, lay,
 FROM ({inner}) AS d
 """
 
+#: How a line begins that starts a reference.
+NEW_REFERENCE = r"^\s*(?:\[\d+\]|\d+\.)\s+|^\s*[A-Z][A-Za-z''`-]+,\s+(?:[A-Z]\.|[A-Z][a-z]+)|^\s*[A-Z][A-Za-z''`-]+\s+(?:and|&|et al\.|[A-Z]\.)"
+#: Documents behind two references that are wrapped over lines; accepted by both engines.
+RENDER_WRAPPED = """
+SELECT doc_id, concat_ws(chr(10), 'Smith, J. (2020). Deep learning for', 'citations. Venue.', 'Jones, B. 2021. A hyphen-', 'ated title. Venue.', text) AS text
+FROM documents
+"""
+_SQUEEZED = r"trim(regexp_replace(z, '\s+', ' ', 'g'))"
+_REFERENCES = f"list_filter(list_transform({{}}, lambda z: {_SQUEEZED}), lambda z: length(z) >= 20 AND NOT regexp_full_match(z, '\\d+'))"
+_BLANKS = _REFERENCES.format(r"string_split_regex(body, '\n\s*\n')")
+_NUMBERED = [_REFERENCES.format(rf"string_split(regexp_replace(body, '(?m)^\s*{number}\s+', chr(1) || '\0', 'g'), chr(1))[2:]") for number in (r"\[\d+\]", r"\d+\.")]
+
 CTES: list[tuple[str, str]] = [
     ("r", RENDER),
     ("rs", r"SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS bare FROM r"),
@@ -112,6 +124,10 @@ CTES: list[tuple[str, str]] = [
     ("ix4", "SELECT paper, raw_ref, year, nullif(trim(CASE WHEN contains(head, ',') THEN split_part(head, ',', 1) WHEN len(names) > 0 THEN names[-1] ELSE whole END, ' .;:'), '') AS sname FROM ix3"),
     ("ix5", surname_key("(SELECT * FROM ix4 WHERE sname IS NOT NULL AND year IS NOT NULL)", "sname")),
     ("ix", "SELECT paper, key, year, count(*) AS n, CASE WHEN count(*) = 1 THEN min(raw_ref) END AS raw_ref FROM ix5 GROUP BY ALL"),
+    ("sn0", offsets("pg", "paper, page", "[^.!?]+[.!?]?")),
+    ("sn1", 'SELECT *, row_number() OVER (PARTITION BY paper, page ORDER BY "start") AS i FROM sn0'),
+    ("sn2", 'SELECT bm0.paper, bm0.page, bm0."start", min(i) AS i FROM bm0 JOIN sn1 ON sn1.paper = bm0.paper AND sn1.page = bm0.page AND bm0."start" BETWEEN sn1."start" AND sn1."end" GROUP BY ALL'),
+    ("sn", r"""SELECT sn2.paper, sn2.page, sn2."start", trim(substr(trim(regexp_replace(string_agg(value, ' ' ORDER BY sn1.i), '\s+', ' ', 'g')), 1, 300)) AS context FROM sn2 JOIN sn1 ON sn1.paper = sn2.paper AND sn1.page = sn2.page AND sn1.i BETWEEN sn2.i - 1 AND sn2.i + 1 GROUP BY ALL"""),
     ("pm0", offsets("pg", "paper, page", PARENTHETICAL)),
     ("pm1", f"SELECT *, regexp_extract_all(substr(value, 2, length(value) - 2), '{PAIR}', 0) AS ps FROM pm0"),
     ("pm2", "SELECT *, unnest(range(len(ps)))::INT AS pair FROM pm1"),
@@ -128,6 +144,16 @@ CTES: list[tuple[str, str]] = [
     ("sd", RENDER_SECTIONS.replace("({inner}) AS d", "sb")),
     ("ss", r"SELECT paper, lay, text, regexp_replace(string_split_regex(string_split_regex(text, '(?im)^\s*(?:references|bibliography|works cited)\s*$')[-1], '(?im)^\s*(?:appendix|appendices|acknowledge?ments?|supplementary materials?|funding|author contributions)\s*$')[1], '^\s+|\s+$', '', 'g') AS section FROM sd"),
     ("sr0", r"SELECT paper, lay, unnest(list_filter(list_transform(CASE WHEN lay = 0 AND len(regexp_extract_all(section, '(?m)^\s*\[(\d+)\]\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\[\d+\]\s+', chr(1) || '\0', 'g'), chr(1))[2:] WHEN lay = 1 AND len(regexp_extract_all(section, '(?m)^\s*(\d+)\.\s+')) >= 2 THEN string_split(regexp_replace(section, '(?m)^\s*\d+\.\s+', chr(1) || '\0', 'g'), chr(1))[2:] ELSE string_split_regex(section, '\n\s*\n') END, lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: length(t) >= 20)) AS raw_ref FROM ss"),
+    ("wl0", f"SELECT doc_id, row_number() OVER () AS row_id, list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda z: {_SQUEEZED}) AS ls FROM ({RENDER_WRAPPED})"),
+    ("wl1", "SELECT *, array_to_string(ls, chr(10)) AS body FROM wl0"),
+    ("wl2", rf"SELECT *, {_BLANKS} AS blank, CASE WHEN len(regexp_extract_all(body, '(?m)^\s*\[\d+\]\s+')) >= 2 THEN 0 WHEN len(regexp_extract_all(body, '(?m)^\s*\d+\.\s+')) >= 2 THEN 1 WHEN contains(body, chr(10) || chr(10)) AND len(blank) >= 2 THEN 2 ELSE 3 END AS lay FROM wl1"),
+    ("wl3", f"SELECT doc_id, unnest(CASE lay WHEN 0 THEN {_NUMBERED[0]} WHEN 1 THEN {_NUMBERED[1]} ELSE blank END) AS raw_ref FROM wl2 WHERE lay < 3"),
+    ("wl4", f"SELECT *, regexp_matches(one, '{NEW_REFERENCE}') AS fresh FROM (SELECT doc_id, row_id, unnest(ls) AS one, unnest(range(1, len(ls) + 1)) AS k FROM wl2 WHERE lay = 3)"),
+    ("wl5", "SELECT *, coalesce(one <> '' AND NOT fresh AND ends_with(lag(one) OVER lines, '-'), false) AS glued FROM wl4 WINDOW lines AS (PARTITION BY row_id ORDER BY k)"),
+    ("wl6", "SELECT *, coalesce(lead(glued) OVER lines, false) AS cut, sum(fresh::INT) OVER lines AS part FROM wl5 WINDOW lines AS (PARTITION BY row_id ORDER BY k)"),
+    ("wl7", "SELECT doc_id, row_id, part, string_agg(concat(CASE WHEN glued THEN '' ELSE ' ' END, CASE WHEN cut THEN left(one, length(one) - 1) ELSE one END), '' ORDER BY k) AS z FROM wl6 WHERE one <> '' GROUP BY ALL"),
+    ("wl8", rf"SELECT doc_id, {_SQUEEZED} AS raw_ref FROM wl7"),
+    ("wl", r"SELECT * FROM wl3 UNION ALL SELECT * FROM wl8 WHERE length(raw_ref) >= 20 AND NOT regexp_full_match(raw_ref, '\d+')"),
 ]
 _NAMES = [n for n, _ in CTES]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import jsonlist, keys, text
 from citeweave.operators import citances, cluster, cocite, components, discover, evaluate, parse, resolve
-from citeweave.plans import hooks, refs
-from citeweave.plans.oracle import RENDER_PAGES, RENDER_SECTIONS, sql
-from citeweave.sources import cache
+from citeweave.plans import discovery, hooks, refs
+from citeweave.plans.oracle import RENDER_PAGES, RENDER_SECTIONS, RENDER_WRAPPED, sql
+from citeweave.sources import cache, io
+from citeweave.sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -222,6 +224,14 @@ def q_enrich_rank(spark, d):
     return cocite.rank_all(cocite.enrich(records, world), C("global_citation_count")).select("canonical_id", "cocitation_count", "global_citation_count", "rank")
 
 
+@query("SELECT canonical_id, CASE WHEN row_number() OVER (ORDER BY cocitation_count DESC, lower(title), canonical_id) <= 30 THEN n END AS global_citation_count FROM xk JOIN (SELECT canonical_id, count(*) AS n FROM xr GROUP BY 1) USING (canonical_id)", "xk")
+def q_enrich_first(spark, d):
+    """Counts for the first 30 works only."""
+    world = _resolved(spark, d).groupBy("canonical_id").agg(F.count(F.lit(1)).alias("cited_by_count")).select(F.concat(F.lit("https://dx.doi.org/10.1/"), F.upper("canonical_id")).alias("doi"), "cited_by_count")
+    records = refs.materialize(_records(spark, d).withColumn("doi", F.concat(F.lit("10.1/"), "canonical_id")), "ranked-records")
+    return cocite.enrich(records, world, 30).select("canonical_id", "global_citation_count")
+
+
 @query("SELECT DISTINCT canonical_id, 1::BIGINT AS cocitation_count, 0::BIGINT AS n_sources FROM xm", "xm")
 def q_csv_mode(spark, d):
     return cocite.without_papers(refs.exact_mapping(spark, d)).select("canonical_id", "cocitation_count", F.size("citing_source_ids").cast("long").alias("n_sources"))
@@ -298,7 +308,7 @@ def q_author_year_links(spark, d):
     return _author_year_links(spark, d).select("paper", "page", "style", "start", "end", "raw_ref")
 
 
-@query()
+@query('SELECT paper, page, "start", context FROM sn', "sn")
 def q_context_window(spark, d):
     pages = _pages(spark, d)
     found = pages.select("paper", "page", "text", F.explode(citances.matches(C("text"), citances.BRACKET)).alias("m"))
@@ -384,20 +394,22 @@ def q_split_blankline(spark, d):
     return _split(spark, d, 2)
 
 
-@query()
+@query("SELECT doc_id, raw_ref FROM wl", "wl")
 def q_split_wrapped(spark, d):
     (docs,) = refs.tables(spark, d, "documents")
-    lines = F.concat_ws("\n", F.lit("Smith, J. (2020). Deep learning for"), F.lit("citations. Venue."), F.lit("Jones, B. 2021. A hyphen-"), F.lit("ated title. Venue."), "text")
-    return docs.select("doc_id", F.explode(parse.split_references(lines)).alias("raw_ref"))
+    wrapped = spark.sql(RENDER_WRAPPED.replace("FROM documents", "FROM {docs}"), docs=docs)
+    return wrapped.select("doc_id", F.explode(parse.split_references(C("text"))).alias("raw_ref"))
 
 
-@query(
-    r"SELECT paper, count(*) AS n_refs, round(avg(CASE WHEN regexp_matches(raw_ref, '\b(?:19|20)\d{2}[a-z]?\b') THEN 1 ELSE 0 END), 9) AS pct_with_year, round(avg(CASE WHEN regexp_matches(raw_ref, '^\s*(?:\[\d+\]\s*|\d+\.\s*)?[A-Z][A-Za-z''`-]{2,}') THEN 1 ELSE 0 END), 9) AS pct_with_authorlike, count(*) < 5 OR avg(CASE WHEN regexp_matches(raw_ref, '\b(?:19|20)\d{2}[a-z]?\b') THEN 1 ELSE 0 END) < 0.5 OR avg(CASE WHEN regexp_matches(raw_ref, '^\s*(?:\[\d+\]\s*|\d+\.\s*)?[A-Z][A-Za-z''`-]{2,}') THEN 1 ELSE 0 END) < 0.6 AS needs_fallback FROM rf GROUP BY paper",
-    "rf",
-)
+QUALITY = r"SELECT paper, count(*) AS n_refs, round(avg(CASE WHEN regexp_matches(raw_ref, '\b(?:19|20)\d{2}[a-z]?\b') THEN 1 ELSE 0 END), 9) AS pct_with_year, round(avg(CASE WHEN regexp_matches(raw_ref, '^\s*(?:\[\d+\]\s*|\d+\.\s*)?[A-Z][A-Za-z''`-]{2,}') THEN 1 ELSE 0 END), 9) AS pct_with_authorlike, count(*) < 5 OR avg(CASE WHEN regexp_matches(raw_ref, '\b(?:19|20)\d{2}[a-z]?\b') THEN 1 ELSE 0 END) < 0.5 OR avg(CASE WHEN regexp_matches(raw_ref, '^\s*(?:\[\d+\]\s*|\d+\.\s*)?[A-Z][A-Za-z''`-]{2,}') THEN 1 ELSE 0 END) < 0.6 AS needs_fallback FROM rf GROUP BY paper"
+
+
+@query(f"{QUALITY} UNION ALL SELECT 'none', 0, 0.0, 0.0, true", "rf")
 def q_quality_report(spark, d):
+    """Every paper with a bibliography, and one without any reference."""
     found = _bibliography(spark, d)
-    return parse.quality(found, found).select("paper", "n_refs", F.round("pct_with_year", 9).alias("pct_with_year"), F.round("pct_with_authorlike", 9).alias("pct_with_authorlike"), "needs_fallback")
+    papers = found.select("paper").union(spark.createDataFrame([("none",)], "paper string"))
+    return parse.quality(found, papers).select("paper", "n_refs", F.round("pct_with_year", 9).alias("pct_with_year"), F.round("pct_with_authorlike", 9).alias("pct_with_authorlike"), "needs_fallback")
 
 
 @query(r"SELECT paper, rtrim(regexp_extract(text, '(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b'), '.') AS doi, regexp_extract(text, '(?i)\barXiv:\s*([0-9]{4}\.[0-9]{4,5}(?:v\d+)?)\b', 1) AS arxiv_id, regexp_extract(substr(text, 1, 2500), '\b(?:19|20)\d{2}\b')::INT AS year, string_split(text, chr(10))[1] AS title FROM sd", "sd")
@@ -405,6 +417,20 @@ def q_header_ids(spark, d):
     return parse.header(_sections(spark, d)).select("paper", "doi", "arxiv_id", "year", "title")
 
 
+@query("SELECT paper, array_to_string(list_transform(parts[1:3], lambda z: z.t), ' ') AS title FROM (SELECT paper, list({'k': k, 't': t} ORDER BY k, t) AS parts FROM (SELECT *, max(size) OVER (PARTITION BY paper) AS most FROM (SELECT l_orderkey AS paper, l_linenumber AS k, p_name AS t, l_quantity / 10 AS size FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <> 2 AND length(p_name) >= 8)) WHERE size >= most - 0.5 GROUP BY paper)")
+def q_title_spans(spark, d):
+    """An order is a first page, its lines are spans; a second line names the abstract and is no title."""
+    line, part = refs.tables(spark, d, "lineitem", "part")
+    words = F.when(C("l_linenumber") == 2, F.concat(F.lit("Abstract of "), "p_name")).otherwise(C("p_name"))
+    spans = line.join(part, line.l_partkey == part.p_partkey).select(C("l_orderkey").alias("paper"), C("l_linenumber").alias("ord"), words.alias("text"), (C("l_quantity") / 10).alias("size"))
+    return parse.titled_by_spans(spans)
+
+
+@query(r"SELECT paper, list_filter(list_transform(string_split_regex(whole, '\r\n|[\n\r\x0b\f]'), lambda z: trim(z)), lambda z: z <> '')[1] AS title, left(whole, 4000) AS snippet FROM (SELECT paper, string_agg(text, chr(10) ORDER BY page, text) AS whole FROM pg WHERE page <= 2 GROUP BY 1)", "pg")
+def q_head_snippet(spark, d):
+    return parse.head_snippet(_pages(spark, d))
+
+
 # discovery
 
 
@@ -414,7 +440,7 @@ WORKS = "SELECT o_orderkey AS work_id, year(o_orderdate)::INT AS year, n AS cite
 def _works(spark, d):
     orders, line = refs.tables(spark, d, "orders", "lineitem")
     cited = line.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("cited_by_count"))
-    return orders.join(cited, orders.o_orderkey == cited.l_orderkey).select(C("o_orderkey").alias("work_id"), C("o_custkey").alias("author_id"), F.year("o_orderdate").alias("year"), "cited_by_count", F.round(C("o_totalprice") / 1000, 3).alias("relevance_score"), F.when(C("o_orderkey") % 3 != 0, F.lit("x.pdf")).alias("pdf_url"))
+    return orders.join(cited, orders.o_orderkey == cited.l_orderkey).select(C("o_orderkey").alias("work_id"), C("o_custkey").alias("author_id"), C("o_orderpriority").alias("title"), F.year("o_orderdate").alias("year"), "cited_by_count", F.round(C("o_totalprice") / 1000, 3).alias("relevance_score"), F.when(C("o_orderkey") % 3 != 0, F.lit("x.pdf")).alias("pdf_url"))
 
 
 def _papers(order: str) -> str:
@@ -436,6 +462,35 @@ def q_papers_relevance(spark, d):
     return discover.search(_works(spark, d), 10, "relevance").select("work_id", "year", "cited_by_count")
 
 
+RECENT = WORKS.replace("SELECT o_orderkey", "SELECT o_orderpriority, o_orderkey")
+
+
+@query(f"SELECT work_id, year, cited_by_count FROM ({RECENT}) WHERE year >= 1996 AND contains(lower(o_orderpriority), 'urgent') ORDER BY cited_by_count DESC, work_id LIMIT 10")
+def q_papers_since(spark, d):
+    """A search by words and first year that takes works without a PDF too."""
+    return discover.search(_works(spark, d), 10, "citations", min_year=1996, require_pdf=False, terms="Urgent").select("work_id", "year", "cited_by_count")
+
+
+PLACES = "SELECT o_orderkey AS work_id, CASE o_orderkey % 4 WHEN 0 THEN concat('https://a.example/', o_orderkey) WHEN 1 THEN '' END AS best, concat('https://b.example/', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pdf' ELSE '/view' END) AS free FROM {o}"
+
+
+@query(f"SELECT work_id, CASE WHEN best <> '' THEN best WHEN work_id % 3 < 2 THEN free END AS pdf_url FROM ({PLACES.format(o='orders')})")
+def q_pdf_url(spark, d):
+    (orders,) = refs.tables(spark, d, "orders")
+    return spark.sql(PLACES, o=orders).select("work_id", discover.pdf_url(C("best"), C("free")).alias("pdf_url"))
+
+
+FOUND = "SELECT p_partkey AS work_id, CASE WHEN p_partkey % 5 > 0 THEN concat('  ', p_name, ' ') END AS title, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS cited_by_count, CASE WHEN p_partkey % 2 > 0 THEN cast(p_size as double) / 4 END AS relevance_score, p_brand, p_type FROM {p}"
+
+
+@query(f"SELECT work_id, coalesce(trim(title), '') AS title, coalesce(cited_by_count, 0) AS cited_by_count, coalesce(relevance_score, 0.0) AS relevance_score, p_brand || '; ' || p_type AS authors FROM ({FOUND.format(p='part')})")
+def q_work_rows(spark, d):
+    (part,) = refs.tables(spark, d, "part")
+    authors = F.array("p_brand", F.lit(""), F.lit(None).cast("string"), "p_type")
+    rows = discover.work_rows(spark.sql(FOUND, p=part).withColumn("authors", authors))
+    return rows.select("work_id", "title", "cited_by_count", "relevance_score", F.array_join("authors", "; ").alias("authors"))
+
+
 AUTHORS = f"SELECT c_custkey AS author_id, c_name, c_mktsegment, coalesce(sum(cited_by_count), 0)::BIGINT AS cites FROM customer LEFT JOIN ({WORKS.replace('SELECT o_orderkey', 'SELECT o_custkey, o_orderkey')}) ON o_custkey = c_custkey GROUP BY ALL"
 
 
@@ -450,6 +505,13 @@ def q_author_resolve(spark, d):
     return discover.resolve_author(_authors(spark, d), "Machinery").select("author_id", "cited_by_count")
 
 
+@query(f"SELECT 'A' || author_id AS author_id, cites AS cited_by_count FROM ({AUTHORS}) WHERE author_id = 7")
+def q_author_by_id(spark, d):
+    """The author of an address that ends in an id."""
+    authors = _authors(spark, d).withColumn("author_id", F.concat(F.lit("A"), "author_id"))
+    return discover.resolve_author(authors, " https://authors.example/A7/ ").select("author_id", "cited_by_count")
+
+
 @query(f"SELECT work_id, cited_by_count FROM ({WORKS.replace('SELECT o_orderkey', 'SELECT o_custkey, o_orderkey')}) WHERE o_custkey = (SELECT author_id FROM ({AUTHORS}) WHERE contains(lower(c_mktsegment), 'machinery') ORDER BY cites DESC, author_id LIMIT 1) ORDER BY cited_by_count DESC, work_id LIMIT 3")
 def q_author_top_works(spark, d):
     return discover.author_works(_works(spark, d), discover.resolve_author(_authors(spark, d), "Machinery")).select("work_id", "cited_by_count")
@@ -469,13 +531,30 @@ def q_pair_f1(spark, d):
     return scored.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
-def q_stage0_greedy_match(spark, d):
+def _matched(spark, d):
+    """Cleaned references against their bibliography; of each four one is not predicted and one predicted wrongly."""
     rows = _bibliography(spark, d).select("paper", C("ordinal").alias("ord"), C("raw_ref").alias("ref"))
-    predicted = rows.select("paper", "ord", text.preclean(C("ref")).alias("ref")).where("ref is not null")
+    found = F.when(C("ord") % 4 == 1, F.lit("zzzz qqqq")).otherwise(text.preclean(C("ref")))
+    predicted = rows.where("ord % 4 <> 0").select("paper", "ord", found.alias("ref"))
     return evaluate.reference_scores(evaluate.greedy_matches(predicted, rows))
 
 
+MATCHED = "SELECT *, matched / n_truth AS recall_, matched / n_predicted AS precision_, CASE WHEN matched > 0 THEN 2.0 * matched / (n_truth + n_predicted) ELSE 0 END AS f1_ FROM (SELECT paper, count(*) AS n_truth, count(*) FILTER (ordinal % 4 <> 0) AS n_predicted, count(*) FILTER (ordinal % 4 > 1) AS matched FROM rf GROUP BY paper)"
+
+
+@query(f"SELECT paper, n_predicted, n_truth, matched, round(recall_, 9) AS recall, round(precision_, 9) AS precision, round(f1_, 9) AS f1 FROM ({MATCHED})", "rf")
+def q_stage0_greedy_match(spark, d):
+    return _matched(spark, d).select("paper", "n_predicted", "n_truth", "matched", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "f1")])
+
+
+@query(f"SELECT round(avg(recall_), 9) AS ref_recall, round(avg(precision_), 9) AS ref_precision, round(avg(f1_), 9) AS ref_f1, round(avg(needs_fallback::INT), 9) AS fallback_rate FROM ({MATCHED}) JOIN ({QUALITY}) USING (paper)", "rf")
+def q_macro_means(spark, d):
+    found = _bibliography(spark, d)
+    scores = _matched(spark, d).join(parse.quality(found, found).select("paper", "needs_fallback"), "paper")
+    means = evaluate.macro_means(scores)
+    return means.select(*[F.round(c, 9).alias(c) for c in means.columns])
+
+
 @query("SELECT key, arg_max(raw, ord) AS raw FROM (SELECT substr(sha1(cleaned), 1, 16) AS key, raw, ord FROM p) GROUP BY key", "p")
 def q_cache_last_wins(spark, d):
     rows = refs.cleaned(spark, d).select(keys.cache_key(C("cleaned")).alias("key"), "raw", "ord")
@@ -516,3 +595,147 @@ def q_authors_flat(spark, d):
     rows = refs.extracted(spark, d)
     cell = F.to_json(F.array(F.named_struct(F.lit("surname"), C("surname"), F.lit("given"), F.lit("A.")), F.named_struct(F.lit("surname"), F.lit("Roe"), F.lit("given"), F.lit(None).cast("string"))))
     return rows.select("ord", F.array_join(jsonlist.flat_authors(cell), "; ").alias("authors"))
+
+
+WRAPPED_JSON = "concat('Here it is: ```json', chr(10), '[{\"raw\": \"', replace(cleaned, '\"', ''), '\",}, ', chr(10), '{\"text\": \"two\"},]', chr(10), '```')"
+
+
+@query("SELECT ord, replace(cleaned, '\"', '') AS first_item, 2::BIGINT AS n FROM p", "p")
+def q_json_repair(spark, d):
+    """Answers with words and a fence around them and commas too many."""
+    rows = refs.cleaned(spark, d).select("ord", jsonlist.string_list(jsonlist.repair(F.expr(WRAPPED_JSON))).alias("items"))
+    return rows.select("ord", F.element_at("items", 1).alias("first_item"), F.size("items").cast("long").alias("n"))
+
+
+@query("SELECT ord, cleaned AS first_item, line AS last_item, 2::BIGINT AS n FROM p", "p")
+def q_flat_items(spark, d):
+    """A list that holds an object, a list of an object and a number, and a string."""
+    one = lambda value: F.to_json(F.named_struct(F.lit("v"), value))
+    cell = F.concat(F.lit("["), one(C("cleaned")), F.lit(", ["), one(C("line")), F.lit(', 3], "x"]'))
+    rows = refs.cleaned(spark, d).select("ord", jsonlist.flat_items(cell).alias("items"))
+    value = lambda k: F.get_json_object(F.element_at("items", k), "$.v")
+    return rows.select("ord", value(1).alias("first_item"), value(-1).cast("int").alias("last_item"), F.size("items").cast("long").alias("n"))
+
+
+# small text forms
+
+
+SMALL = ", ".join(f"'{w}'" for w in text.SMALL_WORDS)
+TITLES = "concat('the ', title, ' OF the DNA', CASE WHEN length(title) % 2 = 0 THEN ' via' ELSE '  x' END)"
+
+
+@query(f"SELECT title, array_to_string(list_transform(words, lambda z, i: CASE WHEN lower(z) IN ({SMALL}) AND i > 1 AND i < len(words) THEN lower(z) WHEN regexp_matches(z, '^.+[A-Z]') THEN z ELSE upper(z[1]) || z[2:] END), ' ') AS shown FROM (SELECT title, string_split(CASE WHEN upper(flat) = flat THEN lower(flat) ELSE flat END, ' ') AS words FROM (SELECT title, trim(regexp_replace({TITLES}, '\\s+', ' ', 'g')) AS flat FROM (SELECT DISTINCT title FROM x WHERE title IS NOT NULL)))", "x")
+def q_title_case(spark, d):
+    titles = refs.extracted(spark, d).where("title is not null").select("title").distinct()
+    return titles.select("title", text.title_case(F.expr(TITLES)).alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN length(flat) > 400 THEN regexp_replace(left(flat, 400), ' [^ ]*$', '') || '…' ELSE flat END AS shown FROM (SELECT doc_id, replace(text, chr(10), ' ') AS flat FROM documents)")
+def q_shorten(spark, d):
+    (docs,) = refs.tables(spark, d, "documents")
+    return docs.select("doc_id", text.shorten(C("text")).alias("shown"))
+
+
+RANGES = "SELECT ord, line, cast(ord % 97 - 20 + line as int) AS top FROM {r}"
+
+
+@query(f"SELECT ord, 1 + CASE WHEN top >= line AND top - line <= 50 THEN top - line + 1 ELSE 0 END AS n, line + CASE WHEN top >= line AND top - line <= 50 THEN (line + top) * (top - line + 1) // 2 ELSE 0 END AS total FROM ({RANGES.format(r='r')})", "r")
+def q_number_list(spark, d):
+    """Bracket lists with ranges that rise, fall, end below zero or span over 50."""
+    rows = spark.sql(RANGES, r=refs.refs(spark, d))
+    listed = rows.select("ord", text.number_list(F.expr("concat(line, ', ', line, ' - ', top)")).alias("ns"))
+    return listed.select("ord", F.size("ns").cast("long").alias("n"), F.aggregate("ns", F.lit(0).cast("long"), lambda a, z: a + z).alias("total"))
+
+
+# files: written by the library and read again
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Cells with quotes, commas, line ends and white space at both ends; accepted by both engines.
+ODD = "concat('  \"', raw, '\", ', chr(10), 'x ')"
+
+
+@query(f"SELECT citing_paper_id, {ODD} AS raw FROM r", "r")
+def q_refs_csv(spark, d):
+    parsed = refs.refs(spark, d).groupBy("citing_paper_id").agg(F.collect_list(F.expr(ODD)).alias("references"))
+    path = _file(spark, "refs")
+    io.write_csv(io.raw_refs(parsed), path)
+    return io.read_refs_csv(spark, path)
+
+
+@query(f"SELECT citing_paper_id, {ODD} AS raw, cleaned FROM p", "p")
+def q_precleaned_csv(spark, d):
+    path = _file(spark, "precleaned")
+    io.write_precleaned(refs.cleaned(spark, d).withColumn("raw", F.expr(ODD)), path)
+    return io.read_precleaned(spark, path)
+
+
+@query(f"SELECT {ODD} AS raw, canonical_id FROM xm", "xm")
+def q_mapping_csv(spark, d):
+    path = _file(spark, "mapping")
+    io.write_csv(refs.exact_mapping(spark, d).select(F.expr(ODD).alias("raw"), "canonical_id"), path)
+    return io.read_mapping(spark, path)
+
+
+@query('SELECT paper, page, raw_marker, "start", raw_ref, CASE WHEN raw_ref IS NULL THEN \'unlinked\' ELSE \'numbered_direct\' END AS link_method, CASE WHEN raw_ref IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS link_confidence FROM nl', "nl")
+def q_citances_jsonl(spark, d):
+    marker = F.struct("style", "raw_marker", "page", F.array("start", "end").alias("char_span")).alias("marker")
+    row = F.struct(C("paper").alias("citing_paper_id"), "raw_ref", F.lit(None).cast("string").alias("context"), marker, "link_method", "link_confidence")
+    parsed = citances.link_numbered(_pages(spark, d), _bibliography(spark, d)).groupBy("paper").agg(F.collect_list(row).alias("citances"))
+    path = _file(spark, "citances")
+    io.write_jsonl(io.citance_rows(parsed), path)
+    found = io.read_citances(spark, path)
+    return found.select(C("citing_paper_id").alias("paper"), "marker.page", "marker.raw_marker", F.element_at("marker.char_span", 1).alias("start"), "raw_ref", "link_method", "link_confidence")
+
+
+@query("SELECT canonical_id, title, surname, year FROM xt", "xt")
+def q_canonical_jsonl(spark, d):
+    named = refs.exact_mapping(spark, d).groupBy("canonical_id").agg(F.min("title").alias("title"), F.min("surname").alias("surname"), F.min("year").alias("year"))
+    authors = F.array(F.struct("surname", F.lit(None).cast("string").alias("given"))).alias("authors")
+    path = _file(spark, "canonical")
+    io.write_jsonl(named.select("canonical_id", authors, "year", "title"), path)
+    return io.read_canonical(spark, path).select("canonical_id", "title", F.element_at("authors", 1)["surname"].alias("surname"), "year")
+
+
+@query("SELECT cleaned, surname, year, title FROM (SELECT DISTINCT cleaned, surname, year, title FROM x)", "x")
+def q_cache_read(spark, d):
+    """Extracted rows written to the cache under two versions, and read under one."""
+    rows = refs.materialize(refs.extract(refs.cleaned(spark, d).select("cleaned").distinct()), "extracted")
+    path = _file(spark, "cache")
+    cache.append(rows, path, "2")
+    cache.append(rows.withColumn("title", F.lit("old")), path, "1")
+    hit, _ = cache.split(rows.select("cleaned"), cache.read(spark, path, "2"))
+    return hit.select("cleaned", "surname", "year", "title")
+
+
+def _report(spark, d):
+    """Ranked works with all that a report shows."""
+    records = refs.materialize(_records(spark, d).join(cocite.sources(_resolved(spark, d)), "canonical_id"), "report")
+    shown = cocite.rank_all(records).withColumn("in_text_hits", F.size("citing_source_ids")).withColumn("global_citation_count", F.when(C("rank") % 2 == 0, C("rank")))
+    return shown.withColumn("authors", F.array("surname", F.lit("Roe"), F.lit("Doe"), F.lit("Poe"))).withColumn("venue", F.lit(None).cast("string")).withColumn("doi", F.lit("10.1/x")).withColumn("confidence", F.lit(0.951))
+
+
+REPORT = "SELECT *, row_number() OVER (ORDER BY cocitation_count DESC, lower(title), canonical_id) AS rank FROM xk JOIN (SELECT canonical_id, string_agg(DISTINCT citing_paper_id, ';' ORDER BY citing_paper_id) AS ids, count(DISTINCT citing_paper_id) AS hits FROM xr GROUP BY 1) USING (canonical_id)"
+
+
+@query(f"SELECT rank::VARCHAR AS rank, cocitation_count::VARCHAR AS cocitation_count, hits::VARCHAR AS in_text_hits, CASE WHEN rank % 2 = 0 THEN rank::VARCHAR ELSE '' END AS global_citation_count, title, surname || '; Roe; Doe; Poe' AS authors, coalesce(year::VARCHAR, '') AS year, '' AS venue, '10.1/x' AS doi, canonical_id, ids AS citing_source_ids, '0.95' AS confidence FROM ({REPORT})", "xk")
+def q_cocited_csv(spark, d):
+    path = _file(spark, "cocited")
+    io.write_csv(io.cocited_table(_report(spark, d)), path)
+    found = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return found.select(*[F.coalesce(c, F.lit("")).alias(c) for c in found.columns])
+
+
+@query(f"SELECT rank + 10 AS number, concat('| ', rank, ' | ', cocitation_count, ' | ', hits, ' | ', CASE WHEN rank % 2 = 0 THEN rank::VARCHAR ELSE '—' END, ' | ', title, ' | ', surname, '; Roe; Doe et al. | ', coalesce(year::VARCHAR, ''), ' |') AS line FROM ({REPORT}) WHERE rank <= 50", "xk")
+def q_markdown_report(spark, d):
+    """Lines of the report's table, which follow ten lines of header for three papers."""
+    lines = io.markdown_report(_report(spark, d), "shown", ["one", "two", "three"]).rstrip("\n").split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1))[10:], "number long, line string")
+
+
+@query(f'SELECT rank AS "#", title AS "Title", surname AS "First author", year AS "Year", cocitation_count AS "Co-citations", hits::INT AS "In text", CASE WHEN rank % 2 = 0 THEN rank END AS "Global", replace(ids, \';\', \'; \') AS "Sources", canonical_id AS "Id" FROM ({REPORT})', "xk")
+def q_display(spark, d):
+    return discovery.display(_report(spark, d))
