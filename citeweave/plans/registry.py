@@ -639,7 +639,7 @@ def q_shorten(spark, d):
 RANGES = "SELECT ord, line, cast(ord % 97 - 20 + line as int) AS top FROM {r}"
 
 
-@query(f"SELECT ord, 1 + CASE WHEN top >= line AND top - line <= 50 THEN top - line + 1 ELSE 0 END AS n, line + CASE WHEN top >= line AND top - line <= 50 THEN (line + top) * (top - line + 1) // 2 ELSE 0 END AS total FROM ({RANGES.format(r='r')})", "r")
+@query(f"SELECT ord, (1 + CASE WHEN top >= line AND top - line <= 50 THEN top - line + 1 ELSE 0 END)::BIGINT AS n, (line + CASE WHEN top >= line AND top - line <= 50 THEN (line + top) * (top - line + 1) // 2 ELSE 0 END)::BIGINT AS total FROM ({RANGES.format(r='r')})", "r")
 def q_number_list(spark, d):
     """Bracket lists with ranges that rise, fall, end below zero or span over 50."""
     rows = spark.sql(RANGES, r=refs.refs(spark, d))
