@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions.text import eval_form
+from citeweave.sources.scratch import materialize
 
 
 def _pairs(n: Column) -> Column:
@@ -21,6 +25,7 @@ def pair_f1(assigned: DataFrame, gold: str = "gold", predicted: str = "predicted
     Rows without a prediction are one predicted group. Empty denominators give 0.
     """
     both = assigned.groupBy(F.col(gold).alias("g"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    both = materialize(both, "pairs")
     tp = both.agg(_pairs(F.col("n")).alias("tp"))
     same_p = both.groupBy("p").agg(F.sum("n").alias("n")).agg(_pairs(F.col("n")).alias("pp"))
     same_g = both.groupBy("g").agg(F.sum("n").alias("n")).agg(_pairs(F.col("n")).alias("gg"))
@@ -31,23 +36,74 @@ def pair_f1(assigned: DataFrame, gold: str = "gold", predicted: str = "predicted
     return scored.withColumn("f1", part(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+@lru_cache(maxsize=1 << 16)
+def _letters(form: str) -> Counter:
+    return Counter(form)
+
+
+@lru_cache(maxsize=1 << 16)
+def _ratio(form: str, other: str) -> float:
+    return SequenceMatcher(None, form, other).ratio()
+
+
+def _bound(form: str, other: str, least: float) -> float:
+    """An upper bound of their ratio, as close as is needed to compare it with ``least``."""
+    size = len(form) + len(other)
+    bound = 2.0 * min(len(form), len(other)) / size
+    if bound < least:
+        return bound
+    mine = _letters(other)
+    return 2.0 * sum(min(n, mine[c]) for c, n in _letters(form).items()) / size
+
+
+def _best(form: str, left: list[str], least: float) -> int | None:
+    """Place of the best of ``left`` with a ratio of at least ``least``, the first of equals; what cannot win is not compared."""
+    if form in left:  # only equal strings have ratio 1
+        return left.index(form)
+    top, place = least, None
+    for bound, at in sorted((-_bound(form, t, least), k) for k, t in enumerate(left)):
+        if -bound < top:
+            break
+        score = _ratio(form, left[at])
+        if score > top or (score == top and (place is None or at < place)):
+            top, place = score, at
+    return place
+
+
+def matched(forms: list[str], truths: list[str], least: float) -> int:
+    """How many ``forms`` take a truth, each in order the best one left of at least ``least``, the first of equals."""
+    left, n = list(truths), 0
+    for form in forms:
+        at = _best(form, left, least)
+        if at is not None:
+            left.pop(at)
+            n += 1
+    return n
+
+
 def greedy_matches(predicted: DataFrame, truth: DataFrame, least: float = 0.85) -> DataFrame:
     """(paper, n_predicted, n_truth, matched): each prediction in order takes the best unmatched truth of at least ``least``.
 
-    Both tables are (paper, ord, ref); a paper's bibliography is one task's work.
+    Both tables are (paper, ord, ref).
     """
+    shaped = lambda df, mine: df.select(F.col("paper"), F.lit(mine).alias("mine"), F.struct(F.col("ord"), eval_form(F.col("ref")).alias("form")).alias("s"))
+    forms = lambda mine: F.transform(F.sort_array(F.collect_list(F.when(F.col("mine") == mine, F.col("s")))), lambda s: s["form"])
+    both = shaped(predicted, True).unionByName(shaped(truth, False))
+    return greedy_lists(both.groupBy("paper").agg(forms(True).alias("a"), forms(False).alias("b")), least)
+
+
+def greedy_lists(papers: DataFrame, least: float = 0.85) -> DataFrame:
+    """``greedy_matches`` of papers(paper, a, b): predicted and true references in order, in the form of ``eval_form``.
+
+    A paper's bibliography is one row of an Arrow batch.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [matched(a, b, least) for a, b in zip(frame.a, frame.b)]
+            yield pd.DataFrame({"paper": frame.paper, "n_predicted": [len(a) for a in frame.a], "n_truth": [len(b) for b in frame.b], "matched": found})
 
-    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left, matched = list(b.sort_values("ord").form), 0
-        for form in a.sort_values("ord").form:
-            scores = [SequenceMatcher(None, form, t).ratio() for t in left]
-            if scores and max(scores) >= least:
-                left.pop(scores.index(max(scores)))
-                matched += 1
-        return pd.DataFrame({"paper": [key[0]], "n_predicted": [len(a)], "n_truth": [len(b)], "matched": [matched]})
-
-    shaped = lambda df: df.select(F.col("paper").alias("paper"), F.col("ord").alias("ord"), eval_form(F.col("ref")).alias("form")).groupBy("paper")
-    return shaped(predicted).cogroup(shaped(truth)).applyInPandas(one, "paper string, n_predicted long, n_truth long, matched long")
+    return papers.select("paper", "a", "b").mapInPandas(run, "paper string, n_predicted long, n_truth long, matched long")
 
 
 def reference_scores(matches: DataFrame) -> DataFrame:
