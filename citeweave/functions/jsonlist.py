@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from citeweave.functions.arrays import let
+
 # Keys that hold a reference, and keys of objects that wrap a list.
 ITEM_KEYS = ("raw", "reference", "text", "ref", "citation")
 LIST_KEYS = ("references", "refs", "bibliography", "entries", "items", "data", "results")
@@ -40,10 +42,10 @@ def string_list(text: Column) -> Column:
 
 def flat_authors(cell: Column) -> Column:
     """Author names of a JSON cell of objects or strings; a cell that is no list is one name."""
-    parsed = F.from_json(cell, "array<string>")
     name = lambda x: F.when(F.startswith(x, F.lit("{")), F.trim(F.concat_ws(" ", F.get_json_object(x, "$.given"), F.get_json_object(x, "$.surname")))).otherwise(x)
-    listed = F.filter(F.transform(parsed, name), lambda x: x.isNotNull() & (x != ""))
-    return F.when(cell.isNull() | (F.trim(cell) == ""), F.expr(NONE)).when(F.startswith(F.trim(cell), F.lit("[")) & parsed.isNotNull(), listed).otherwise(F.array(cell))
+    listed = lambda parsed: F.filter(F.transform(parsed, name), lambda x: x.isNotNull() & (x != ""))
+    read = lambda c: F.coalesce(listed(F.from_json(c, "array<string>")), F.array(c))
+    return let(cell, lambda c: F.when(c.isNull() | (F.trim(c) == ""), F.expr(NONE)).when(F.startswith(F.trim(c), F.lit("[")), read(c)).otherwise(F.array(c)))
 
 
 def repaired(text: str | None) -> str | None:

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from citeweave.functions.arrays import let, located
 
 # Patterns whose matches decide the results.
-SPACE = "[\\s\\x1c-\\x1f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_BLANK = "[\\s\\x1c-\\x1f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+#: White space; printable ASCII is ruled out by one range before the list is looked at.
+SPACE = f"[[^!-~]&&{_BLANK}]"
+#: Runs of white space that are not already one plain space.
+RUNS = f"(?:[[^ -~]&&{_BLANK}]{SPACE}*| {SPACE}+)"
 PAGES = "pp?\\.\\s*\\d+(?:\\s*[-\\u2013]\\s*\\d+)?\\s*"
 YEAR = "\\b((?:19|20)\\d{2})([a-z])?\\b"
 DOI = "(?i)\\b10\\.\\d{4,9}/[-._;()/:A-Z0-9]+\\b"
@@ -21,33 +25,48 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Fixed value: a reference has as many characters once stripped.
+MIN_CHARS = 6
+
+
+def _stripped(text: Column) -> Column:
+    """``text`` without white space at its ends; the pattern runs only where an end has some."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(F.rlike(ends, F.lit(SPACE)), F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")).otherwise(text)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return let(text, _stripped)
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, RUNS, " "))
+
+
+def filled(text: Column) -> Column:
+    """``text``, evaluated once, with null in place of the empty string."""
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def first(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without one."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, pattern, group))
 
 
 def _noise(bare: Column) -> Column:
-    return (F.length(bare) < 6) | F.rlike(bare, F.lit("^\\p{Nd}+$"))
+    return (F.length(bare) < MIN_CHARS) | F.rlike(bare, F.lit("^\\p{Nd}+$"))
 
 
 def is_noise(raw: Column) -> Column:
     """Null, digits only, or under six characters once stripped."""
-    return raw.isNull() | _noise(strip(raw))
+    return let(raw, lambda r: r.isNull() | _noise(_stripped(r)))
 
 
 def preclean(raw: Column) -> Column:
     """Cleaned reference string; null for noise."""
     steps = (
-        (f"{SPACE}+", " "),
+        (RUNS, " "),
         ("\\s*&\\s*", " and "),
         ("'s\\b", ""),
         (f",\\s*{PAGES}\\)", ")"),
@@ -55,13 +74,13 @@ def preclean(raw: Column) -> Column:
         (f",\\s*{PAGES}$", ""),
         (f"\\s+{PAGES}$", ""),
         ("\\band([A-Z])", "and $1"),
-        ("\\s+", " "),
+        ("  +", " "),
     )
 
     def cleaned(text: Column) -> Column:
         for pattern, put in steps:
             text = F.regexp_replace(text, pattern, put)
-        return F.nullif(F.trim(text), F.lit(""))
+        return filled(F.trim(text))
 
     return let(strip(raw), lambda bare: F.when(~_noise(bare), cleaned(bare)))
 
@@ -85,7 +104,7 @@ def fields(text: Column) -> Column:
         tail = F.when(m["at"] > 0, F.ltrim(F.substring(text, m["at"] + F.length(m["y"]), F.length(text)), F.lit(" .,)"))).otherwise("")
         chunk = strip(F.element_at(F.split(head, ",|\\band\\b|&", 2), 1))
         surname = let(chunk, lambda c: _last_name(F.split(c, f"{SPACE}+"), F.coalesce(F.nullif(c, F.lit("")), F.lit("Unknown")), ".,"))
-        title = F.nullif(F.btrim(F.substring_index(tail, ".", 1), F.lit(" .")), F.lit(""))
+        title = filled(F.btrim(F.substring_index(tail, ".", 1), F.lit(" .")))
         year = F.nullif(F.substring(m["y"], 1, 4), F.lit("")).cast("int")
         return F.struct(surname.alias("surname"), year.alias("year"), F.nullif(F.substring(m["y"], 5, 1), F.lit("")).alias("year_suffix"), title.alias("title"))
 
@@ -112,7 +131,7 @@ def index_surname(reference: Column) -> Column:
         words = F.transform(F.split(whole, f"{SPACE}+"), lambda t: F.btrim(t, F.lit(" .")))
         return F.when(F.contains(h, F.lit(",")), F.substring_index(h, ",", 1)).otherwise(_last_name(words, whole, ""))
 
-    return F.nullif(F.btrim(let(let(ref, head), name), F.lit(" .;:")), F.lit(""))
+    return filled(F.btrim(let(let(ref, head), name), F.lit(" .;:")))
 
 
 def number_list(inner: Column) -> Column:

@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions.text import preclean
+from citeweave.sources.scratch import materialize, once
 
 
-def resolve_raws(rows: DataFrame, mapping: DataFrame, raw: str = "raw") -> DataFrame:
-    """``rows`` with canonical_id: by the raw string, else by its cleaned form; rows that neither finds go."""
+def resolve_raws(rows: DataFrame, mapping: DataFrame, raw: str = "raw", how: str = "inner") -> DataFrame:
+    """``rows`` with canonical_id: by the raw string, else by its cleaned form; rows that neither finds go, unless ``how`` is left."""
     exact = mapping.select(F.col("raw").alias("_exact"), F.col("canonical_id").alias("_one"))
     loose = mapping.select(F.col("raw").alias("_loose"), F.col("canonical_id").alias("_two"))
-    cleaned = rows.withColumn("_cleaned", preclean(F.col(raw)))
-    found = cleaned.join(exact, F.col(raw) == F.col("_exact"), "left").join(loose, F.col("_cleaned") == F.col("_loose"), "left")
-    return found.withColumn("canonical_id", F.coalesce("_one", "_two")).drop("_exact", "_one", "_loose", "_two", "_cleaned").where("canonical_id is not null")
+
+    def named(strings: DataFrame) -> DataFrame:
+        cleaned = strings.withColumn("_cleaned", preclean(F.col(raw)))
+        found = cleaned.join(exact, F.col(raw) == F.col("_exact"), "left").join(loose, F.col("_cleaned") == F.col("_loose"), "left")
+        return found.select(raw, F.coalesce("_one", "_two").alias("canonical_id")).where("canonical_id is not null")
+
+    return once(rows, raw, named, "named", how)
 
 
 def counts(resolved: DataFrame, paper: str = "citing_paper_id") -> DataFrame:
@@ -73,8 +78,6 @@ def rank_all(records: DataFrame, global_count: Column | None = None, partitions:
     """
     spark = records.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from citeweave.sources.scratch import materialize
-
     placed = materialize(records.repartitionByRange(n, *order(global_count)).withColumn("_part", F.spark_partition_id()), "ranked")
     sizes = placed.groupBy("_part").count()  # one row a partition
     ahead = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))

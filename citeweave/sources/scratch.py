@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def once(rows: DataFrame, key: str, shape: Callable[[DataFrame], DataFrame], name: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns that ``shape`` gives their distinct ``key`` values; rows whose value it drops go, unless ``how`` is left.
+
+    A value that many rows share is worked out once. The table of values is
+    written first, so its measured size decides how the join is done.
+    """
+    known = materialize(shape(rows.select(key).distinct()), name)
+    return rows.join(known, key, how).select(*[rows[c] for c in rows.columns], *[known[c] for c in known.columns if c != key])
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table made by ``materialize`` that no later plan reads."""
     path = getattr(table, "_scratch_path", None)
