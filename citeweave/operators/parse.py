@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.functions.arrays import let
 from citeweave.functions.text import ARXIV, AUTHORLIKE, DOI, YEAR, first, normalize_lines, squeeze, strip
 
 # Section headings, alone on a line.
@@ -28,14 +29,19 @@ def documents(pages: DataFrame) -> DataFrame:
 
 def reference_section(docs: DataFrame) -> DataFrame:
     """``docs`` with section(text, start_page, heading) after the last heading of all pages, null without one."""
-    whole = F.array_join("texts", "\n")
-    parts = F.split(whole, HEADING, -1)
-    after = F.element_at(parts, -1)
-    cut = strip(F.element_at(F.split(after, NEXT_SECTION, 2), 1))
-    on_page = F.transform("texts", lambda t, i: F.when(F.rlike(t, F.lit(HEADING)), i + 1))
-    page = F.array_max(on_page)
-    heading = F.element_at(F.regexp_extract_all(whole, F.lit(HEADING), F.lit(1)), -1)
-    return docs.withColumn("section", F.when(F.size(parts) > 1, F.struct(cut.alias("text"), page.alias("start_page"), heading.alias("heading"))))
+
+    def section(whole: Column) -> Column:
+        headings = F.regexp_extract_all(whole, F.lit(HEADING), F.lit(1))
+        return let(headings, lambda found: F.when(F.size(found) > 0, F.struct(_cut(whole).alias("text"), page.alias("start_page"), F.element_at(found, -1).alias("heading"))))
+
+    page = F.array_max(F.transform("texts", lambda t, i: F.when(F.rlike(t, F.lit(HEADING)), i + 1)))
+    return docs.withColumn("section", let(F.array_join("texts", "\n"), section))
+
+
+def _cut(whole: Column) -> Column:
+    """What stands between the last heading and the next section; greedy text before a heading finds the last one."""
+    after = F.regexp_replace(whole, f"(?s)\\A.*(?:{HEADING})", "")
+    return strip(F.regexp_replace(after, f"(?:{NEXT_SECTION})(?s:.*)\\z", ""))
 
 
 def is_reference(text: Column) -> Column:
@@ -82,15 +88,16 @@ def split_references(section: Column) -> Column:
             return valid(F.slice(F.split(F.regexp_replace(text, pattern, "\x01$0"), "\x01", -1), 2, 1 << 30))
 
         has = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))) >= 2
-        blank = valid(F.split(text, "\n\\s*\n", -1))
-        return F.when(has(NUMBERED[0]), numbered(NUMBERED[0])).when(has(NUMBERED[1]), numbered(NUMBERED[1])).when(F.contains(text, F.lit("\n\n")) & (F.size(blank) >= 2), blank).otherwise(F.filter(_by_beginnings(ls), is_reference))
+        begun = F.filter(_by_beginnings(ls), is_reference)
+        blank = let(valid(F.split(text, "\n\\s*\n", -1)), lambda found: F.when(F.size(found) >= 2, found).otherwise(begun))
+        return F.when(has(NUMBERED[0]), numbered(NUMBERED[0])).when(has(NUMBERED[1]), numbered(NUMBERED[1])).when(F.contains(text, F.lit("\n\n")), blank).otherwise(begun)
 
     return F.element_at(F.transform(F.array(lines), body), 1)
 
 
 def references(docs: DataFrame) -> DataFrame:
     """(paper, ordinal, raw_ref) from 1 on, of docs with a section."""
-    return docs.where("section is not null").select("paper", F.posexplode(split_references(F.col("section.text"))).alias("p", "raw_ref")).select("paper", (F.col("p") + 1).alias("ordinal"), "raw_ref")
+    return docs.select("paper", F.posexplode(split_references(F.col("section.text"))).alias("p", "raw_ref")).select("paper", (F.col("p") + 1).alias("ordinal"), "raw_ref")
 
 
 def body_pages(docs: DataFrame) -> DataFrame:
@@ -123,9 +130,11 @@ def quality(refs: DataFrame, papers: DataFrame, min_refs: int = MIN_REFS, with_y
 def header(docs: DataFrame) -> DataFrame:
     """``docs`` with doi, arxiv_id, year and title of the first page."""
     page = F.coalesce(F.try_element_at("texts", F.lit(1)), F.lit(""))
-    lines = F.filter(F.transform(F.split(page, "\\R"), squeeze), lambda x: (F.length(x) >= 12) & ~F.rlike(x, F.lit("(?i)\\b(?:abstract|doi|arxiv)\\b")))
+    titled = lambda x: (F.length(x) >= 12) & ~F.rlike(x, F.lit("(?i)\\b(?:abstract|doi|arxiv)\\b"))
+    # lines after the title are not looked at
+    title = F.aggregate(F.split(page, "\\R"), F.lit(None).cast("string"), lambda done, line: F.when(done.isNotNull(), done).otherwise(let(squeeze(line), lambda x: F.when(titled(x), x))))
     doi = F.rtrim(first(page, DOI, 0), F.lit("."))
-    return docs.withColumns({"doi": doi, "arxiv_id": first(page, ARXIV), "year": first(F.substring(page, 1, 2500), "\\b(?:19|20)\\d{2}\\b", 0).cast("int"), "title": F.substring(F.try_element_at(lines, F.lit(1)), 1, 250)})
+    return docs.withColumns({"doi": doi, "arxiv_id": first(page, ARXIV), "year": first(F.substring(page, 1, 2500), "\\b(?:19|20)\\d{2}\\b", 0).cast("int"), "title": F.substring(title, 1, 250)})
 
 
 def titled_by_spans(spans: DataFrame) -> DataFrame:
