@@ -37,13 +37,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def once(rows: DataFrame, key: str, shape: Callable[[DataFrame], DataFrame], name: str, how: str = "inner") -> DataFrame:
+def once(rows: DataFrame, key: str, shape: Callable[[DataFrame], DataFrame], name: str, how: str = "inner", values: DataFrame | None = None) -> DataFrame:
     """``rows`` with the columns that ``shape`` gives their distinct ``key`` values; rows whose value it drops go, unless ``how`` is left.
 
     A value that many rows share is worked out once. The table of values is
-    written first, so its measured size decides how the join is done.
+    written first, so its measured size decides how the join is done. ``values``
+    are the distinct ones if there is a cheaper way to them.
     """
-    known = materialize(shape(rows.select(key).distinct()), name)
+    known = materialize(shape(rows.select(key).distinct() if values is None else values), name)
     return rows.join(known, key, how).select(*[rows[c] for c in rows.columns], *[known[c] for c in known.columns if c != key])
 
 

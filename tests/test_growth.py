@@ -71,3 +71,27 @@ def test_first_and_last_of_equal_rows(spark):
     assert sorted(map(tuple, resolve.first_wins(rows, "key", "at").collect())) == [("j", None, 5), ("k", "a", 1)]
     assert sorted(map(tuple, resolve.last_wins(rows, "key", "at").collect())) == [("j", None, 5), ("k", "a", 3)]
     assert "HashAggregate(keys=[key" in plan(resolve.first_wins(rows, "key", "at"))
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    path, size = str(tmp_path / "t"), "spark.sql.files.maxPartitionBytes"
+    spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s")).coalesce(1).write.parquet(path)
+    before = spark.conf.get(size)
+    spark.conf.set(size, "32k")
+    try:
+        table = spark.read.parquet(path)
+        sizes = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        assert table.rdd.getNumPartitions() >= 4 and sizes(table) == [20_000]
+        assert max(sizes(refs.spread(table, "id", "s"))) < 10_000
+        assert refs.spread(table, "id", "s").orderBy("id").collect() == table.orderBy("id").collect()
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_strings_of_equal_pairs_and_refs_of_some_papers(spark):
+    rows = refs.refs(spark, DATA)
+    assert sorted(refs.strings(spark, DATA).collect()) == sorted(rows.select("raw").distinct().collect())
+    assert "HashAggregate(keys=[l_partkey" in plan(refs.strings(spark, DATA))
+    papers = spark.createDataFrame([("1",), ("7",), ("none",)], "paper string")
+    some = refs.refs(spark, DATA, papers)
+    assert sorted(some.collect()) == sorted(rows.where("citing_paper_id in ('O1', 'O7')").collect()) and some.count() > 0
