@@ -13,6 +13,8 @@ _BLANK = "[\\s\\x1c-\\x1f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 SPACE = f"[[^!-~]&&{_BLANK}]"
 #: Runs of white space that are not already one plain space.
 RUNS = f"(?:[[^ -~]&&{_BLANK}]{SPACE}*| {SPACE}+)"
+#: The same runs within a line.
+RUNS_IN_LINE = RUNS.replace(_BLANK, f"{_BLANK}&&[^\\n]")
 PAGES = "pp?\\.\\s*\\d+(?:\\s*[-\\u2013]\\s*\\d+)?\\s*"
 YEAR = "\\b((?:19|20)\\d{2})([a-z])?\\b"
 DOI = "(?i)\\b10\\.\\d{4,9}/[-._;()/:A-Z0-9]+\\b"
@@ -147,8 +149,9 @@ def number_list(inner: Column) -> Column:
 
 
 def normalize_lines(text: Column) -> Column:
-    """Lines with white space squeezed; blank ones are empty."""
-    return F.transform(F.split(F.regexp_replace(text, "\\r", "\n"), "\n", -1), squeeze)
+    """``text`` with the white space of each line squeezed; blank lines are empty."""
+    squeezed = F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("\n")), RUNS_IN_LINE, " ")
+    return F.trim(F.replace(F.replace(squeezed, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n")))
 
 
 #: Words that stay small inside a title.

@@ -11,15 +11,16 @@ from citeweave.functions.text import ARXIV, AUTHORLIKE, DOI, YEAR, first, normal
 # Section headings, alone on a line.
 HEADING = "(?imd)^\\s*(references|bibliography|works cited|参考文献)\\s*$"
 NEXT_SECTION = "(?imd)^\\s*(?:appendix|appendices|acknowledg(?:e)?ments?|supplementary materials?|funding|author contributions)\\s*$"
-NUMBERED = ("(?md)^\\s*\\[(\\d+)\\]\\s+", "(?md)^\\s*(\\d+)\\.\\s+")
-# How a line begins that starts a reference.
+# The number that begins a squeezed line.
+NUMBERED = ("\\[\\d+\\]", "\\d+\\.")
+# How a squeezed line begins that starts a reference.
 NEW_REFERENCE = (
-    "^\\s*(?:\\[\\d+\\]|\\d+\\.)\\s+",
-    "^\\s*[A-Z][A-Za-z'`-]+,\\s+(?:[A-Z]\\.|[A-Z][a-z]+)",
-    "^\\s*[A-Z][A-Za-z'`-]+\\s+(?:and|&|et al\\.|[A-Z]\\.)",
+    "(?:\\[\\d+\\]|\\d+\\.) ",
+    "[A-Z][A-Za-z'`-]+, (?:[A-Z]\\.|[A-Z][a-z]+)",
+    "[A-Z][A-Za-z'`-]+ (?:and|&|et al\\.|[A-Z]\\.)",
 )
+_BEGINS = "|".join(NEW_REFERENCE)
 MIN_REFS, MIN_WITH_YEAR, MIN_AUTHORLIKE = 5, 0.50, 0.60
-_STRINGS = "cast(array() as array<string>)"
 
 
 def documents(pages: DataFrame) -> DataFrame:
@@ -48,51 +49,28 @@ def is_reference(text: Column) -> Column:
     return (F.length(text) >= 20) & ~F.rlike(text, F.lit("^\\p{Nd}+$"))
 
 
-def starts_reference(line: Column) -> Column:
-    return F.rlike(line, F.lit("|".join(f"(?:{p})" for p in NEW_REFERENCE)))
+def _by_beginnings(text: Column) -> Column:
+    """References of squeezed lines by how lines begin; a trailing hyphen is undone, blank lines part what a wrapped line joins.
 
-
-def merge_wrapped(lines: Column) -> Column:
-    """Continuation lines joined to their reference; a trailing hyphen is undone; blank lines part."""
-
-    def step(done: Column, line: Column) -> Column:
-        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))
-        init = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        joined = F.when(F.endswith(last, F.lit("-")), F.concat(F.substring(last, F.lit(1), F.length(last) - 1), line)).otherwise(F.concat(last, F.lit(" "), line))
-        return F.when(line == "", F.when(last != "", F.concat(done, F.array(F.lit("")))).otherwise(done)).when((last != "") & ~starts_reference(line), F.concat(init, F.array(joined))).otherwise(F.concat(done, F.array(line)))
-
-    return F.aggregate(lines, F.expr(_STRINGS), step)
-
-
-def _by_beginnings(lines: Column) -> Column:
-    seed = F.struct(F.expr(_STRINGS).alias("refs"), F.lit("").alias("open"))
-
-    def step(a: Column, line: Column) -> Column:
-        new = (a["open"] != "") & starts_reference(line)
-        grown = F.when(a["open"] == "", line).otherwise(F.concat(a["open"], F.lit(" "), line))
-        kept = F.when(new, F.concat(a["refs"], F.array(squeeze(a["open"])))).otherwise(a["refs"])
-        return F.when(line == "", a).otherwise(F.struct(kept.alias("refs"), F.when(new, line).otherwise(grown).alias("open")))
-
-    return F.aggregate(merge_wrapped(lines), seed, step, lambda a: F.when(a["open"] == "", a["refs"]).otherwise(F.concat(a["refs"], F.array(squeeze(a["open"])))))
+    Each pass goes over the whole text once, however many lines it has. Squeezed
+    lines hold no tab, so a tab stands for a line end within a reference.
+    """
+    wrapped = F.regexp_replace(text, f"\\n(?!\\n|\\z|{_BEGINS})(?<=[^\\n]\\n)", "\t")
+    joined = F.replace(F.replace(wrapped, F.lit("-\t"), F.lit("")), F.lit("\t"), F.lit(" "))
+    return F.filter(F.split(F.trim(F.regexp_replace(joined, f"\\n++(?!{_BEGINS})", " ")), "\n+", -1), is_reference)
 
 
 def split_references(section: Column) -> Column:
     """References of a section's text: by bracket numbers, else by plain numbers, else by blank lines, else by how lines begin."""
-    lines = normalize_lines(section)
 
-    def body(ls: Column) -> Column:
-        text = F.array_join(ls, "\n")
+    def body(text: Column) -> Column:
+        has = lambda mark: F.rlike(text, F.lit(f"(?md)^{mark}\\s(?s:.*?)^{mark}\\s"))
+        numbered = lambda mark: F.slice(F.split(F.regexp_replace(text, f"(?md)^{mark}\\s", "\x01$0"), "\x01", -1), 2, 1 << 30)
         valid = lambda parts: F.filter(F.transform(parts, squeeze), is_reference)
+        blank = let(valid(F.split(text, "\n\n+", -1)), lambda found: F.when(F.size(found) >= 2, found).otherwise(_by_beginnings(text)))
+        return F.when(has(NUMBERED[0]), valid(numbered(NUMBERED[0]))).when(has(NUMBERED[1]), valid(numbered(NUMBERED[1]))).when(F.contains(text, F.lit("\n\n")), blank).otherwise(_by_beginnings(text))
 
-        def numbered(pattern: str) -> Column:
-            return valid(F.slice(F.split(F.regexp_replace(text, pattern, "\x01$0"), "\x01", -1), 2, 1 << 30))
-
-        has = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))) >= 2
-        begun = F.filter(_by_beginnings(ls), is_reference)
-        blank = let(valid(F.split(text, "\n\\s*\n", -1)), lambda found: F.when(F.size(found) >= 2, found).otherwise(begun))
-        return F.when(has(NUMBERED[0]), numbered(NUMBERED[0])).when(has(NUMBERED[1]), numbered(NUMBERED[1])).when(F.contains(text, F.lit("\n\n")), blank).otherwise(begun)
-
-    return F.element_at(F.transform(F.array(lines), body), 1)
+    return let(normalize_lines(section), body)
 
 
 def references(docs: DataFrame) -> DataFrame:

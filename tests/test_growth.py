@@ -1,13 +1,15 @@
 """Steps that every reference passes: worked out once a string, with few shuffles, and with the results of the plain form."""
 
 import random
+import re
+import time
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from citeweave.functions import text
-from citeweave.operators import evaluate, resolve
+from citeweave.operators import evaluate, parse, resolve
 from citeweave.plans import refs
 from citeweave.plans.registry import QUERIES
 
@@ -73,6 +75,53 @@ def test_first_and_last_of_equal_rows(spark):
     assert "HashAggregate(keys=[key" in plan(resolve.first_wins(rows, "key", "at"))
 
 
+def plain_split(section):
+    """The rules line by line, as a list grows."""
+    space = "[\\s\x1c-\x1f\x85\xa0]+"
+    new = r"(?:\[[0-9]+\]|[0-9]+\.) |[A-Z][A-Za-z'`-]+, (?:[A-Z]\.|[A-Z][a-z]+)|[A-Z][A-Za-z'`-]+ (?:and|&|et al\.|[A-Z]\.)"
+    tidy = lambda x: re.sub(space, " ", x).strip(" ")
+    valid = lambda parts: [x for x in map(tidy, parts) if len(x) >= 20 and not re.fullmatch("[0-9]+", x)]
+    lines = [tidy(x) for x in section.replace("\r", "\n").split("\n")]
+    text = "\n".join(lines)
+    for pattern in (r"(?m)^\s*\[[0-9]+\]\s+", r"(?m)^\s*[0-9]+\.\s+"):
+        at = [m.start() for m in re.finditer(pattern, text)]
+        if len(at) >= 2:
+            return valid(text[a:b] for a, b in zip(at, at[1:] + [len(text)]))
+    blank = valid(re.split(r"\n\s*\n", text)) if "\n\n" in text else []
+    if len(blank) >= 2:
+        return blank
+    merged, groups = [], []
+    for x in lines:
+        last = merged[-1] if merged else ""
+        if x and last and not re.match(new, x):
+            merged[-1] = last[:-1] + x if last.endswith("-") else f"{last} {x}"
+        elif x or last:
+            merged.append(x)
+    for x in filter(None, merged):
+        if groups and not re.match(new, x):
+            groups[-1] += " " + x
+        else:
+            groups.append(x)
+    return valid(groups)
+
+
+def test_lines_are_merged_as_one_by_one(spark):
+    rng = random.Random(5)
+    pieces = ["\n", "\n", "\n", "\r", "\n\n", " \n ", "\t", "  ", "\x0b", "\x85", "-", "-\n", "[1] ", "[2]", "1. ", "2.", "Smith, J.", "Smith", "Jones-", "and", "& Doe", "et al.", "Roe, Carl", "a title of many words", "12345678901234567890", "é", "(2020). Venue"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30))) for _ in range(6000)] + ["Smith, J. (2020). A title-\n", "-\n-\nSmith, J. (2020). A title"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    got = {r.k: r.r for r in frame.select("k", parse.split_references(F.col("s")).alias("r")).collect()}
+    assert [got[k] for k in range(len(texts))] == [plain_split(t) for t in texts]
+    assert spark.createDataFrame([(None,)], "s string").select(parse.split_references(F.col("s")).alias("r")).first().r is None
+
+
+def test_many_lines_cost_no_square_of_them(spark):
+    text = "Smith, J. (2020). A title\nof a work in a venue\n" * 60_000
+    frame = spark.createDataFrame([(text,)], "s string").select(F.size(parse.split_references(F.col("s"))).alias("n"))
+    start = time.time()
+    assert frame.first().n == 60_000 and time.time() - start < 30
+
+
 def test_rows_of_one_row_group_are_spread(spark, tmp_path):
     path, size = str(tmp_path / "t"), "spark.sql.files.maxPartitionBytes"
     spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s")).coalesce(1).write.parquet(path)
